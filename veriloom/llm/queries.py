@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm import exact_dedup, mixing, sharding
+from veriloom.llm import exact_dedup, host_rules, mixing, quality_classifier, sharding, simhash
 from veriloom.llm.common import small_arrow_batches, table
 
 
+def op1_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op2_min_cost_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Old layout: a shard for each source's hash, so very uneven; new: 40 shards of equal bytes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -31,6 +36,36 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op4_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return quality_classifier.scored(docs, labels)
+
+
+def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("host")
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
+      WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (SELECT doc_id, source, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+      FROM d LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+h AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS failed FROM f GROUP BY source),
+p AS (SELECT avg(failed / n) AS m, greatest(var_pop(failed / n) - avg(failed / n) * (1 - avg(failed / n)) * avg(1 / n), 0) AS v FROM h),
+b AS (SELECT m, CASE WHEN m <= 0 OR m >= 1 THEN NULL WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1), 1e6) ELSE 1 END AS s FROM p),
+q AS (SELECT coalesce(m * s, greatest(m, 0.01)) AS a, coalesce((1 - m) * s, greatest(1 - m, 0.01)) AS c FROM b),
+k AS (SELECT source, (failed + a) / (n + a + c) <= 0.5 AS host_kept FROM h, q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_kept AS kept
+FROM f JOIN k ON f.source IS NOT DISTINCT FROM k.source
+"""
+
+
 def op10_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
     mixed = mixing.mix(docs, F.col("size"), F.col("source"), F.col("doc_id"))
@@ -38,8 +73,8 @@ def op10_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_min_cost_flow_resharding, op3_heavy_hitter_dedup, op10_systematic_mixing)}
+    return {f.__name__: f for f in (op1_simhash_multi_index, op2_min_cost_flow_resharding, op3_heavy_hitter_dedup, op4_bradley_terry_quality, op5_host_rules, op10_systematic_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_heavy_hitter_dedup": OP3_SQL}
+    return {"op3_heavy_hitter_dedup": OP3_SQL, "op5_host_rules": OP5_SQL}
