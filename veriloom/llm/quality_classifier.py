@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import small_arrow_batches
+from veriloom.llm.common import bounded_sample, small_arrow_batches
 
 THRESHOLD = 0.3
 #: Bounds of the fit: labelled rows read, and preference pairs made of them.
@@ -115,7 +115,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
             yield pa.array([features(t.as_py()) for t in batch], pa.list_(pa.float64()))
 
     taught = labels.where((remainder(F.col("doc_id"), 5) != 0) & F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("__id"), "quality")
-    sample = taught.orderBy(F.xxhash64("__id"), "quality").limit(most)
+    sample = bounded_sample(taught, F.col("__id"), most)
     got = docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("__text")).join(F.broadcast(sample), F.col("__doc") == F.col("__id"))
     rows = got.select("__id", "quality", measured(F.col("__text")).alias("x")).collect()  # at most MAX_LABELLED, but for repeated ids
     if not rows:

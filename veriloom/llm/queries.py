@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm import bpe, chat_format, exact_dedup, host_rules, mixing, quality_classifier, sharding, simhash
+from veriloom.llm import bpe, chat_format, exact_dedup, host_rules, language_crf, mixing, pii, quality_classifier, sharding, simhash
 from veriloom.llm.common import small_arrow_batches, table
 
 
@@ -105,6 +105,16 @@ FROM e GROUP BY conv_id
 """
 
 
+def op8_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [pii.count_of("base", k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.written("base"), 256).alias("base_sha256"), pii.written("spans").alias("spans"))
+
+
+def op9_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_crf.identified(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op10_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
     mixed = mixing.mix(docs, F.col("size"), F.col("source"), F.col("doc_id"))
@@ -112,7 +122,7 @@ def op10_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_multi_index, op2_min_cost_flow_resharding, op3_heavy_hitter_dedup, op4_bradley_terry_quality, op5_host_rules, op6_transducer_bpe, op7_schema_chat, op10_systematic_mixing)}
+    return {f.__name__: f for f in (op1_simhash_multi_index, op2_min_cost_flow_resharding, op3_heavy_hitter_dedup, op4_bradley_terry_quality, op5_host_rules, op6_transducer_bpe, op7_schema_chat, op8_bootstrapped_pii, op9_crf_language, op10_systematic_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
