@@ -320,3 +320,8 @@ def ids_list(packed: bytes) -> list[int]:
     return np.frombuffer(packed, "<u4").tolist()
 
 
+
+
+def digests(coded: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of what tokenized() gives."""
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

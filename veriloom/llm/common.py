@@ -51,16 +51,6 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
     return F.broadcast(df) if rows <= limit else df
 
 
-def code_text(col: Column) -> Column:
-    return F.coalesce(col.cast("string"), F.lit(""))
-
-
-def without(df: DataFrame, names: list[str]) -> list[str]:
-    """The columns of df that don't clash with names, whatever the case."""
-    taken = {n.lower() for n in names}
-    return [c for c in df.columns if c.lower() not in taken]
-
-
 def bounded_sample(df: DataFrame, key: Column, most: int, slack: float = 2.0) -> DataFrame:
     """The rows with the least hash of key, at most so many. A first cut by hash, from the count, keeps what is ranked small
     whatever the size of df; it decides nothing, as the least hashes pass it."""

@@ -6,7 +6,7 @@ are read. All other digests are grouped by an ordinary shuffle. The summary only
 
 Defined cases: a null text counts as empty; a null doc_id ranks last (a group of null ids keeps one of them, with keep_id null);
 rows that repeat doc_id and text are ranked by an order of their own, so exactly one row of a group is kept; an empty table
-gives no rows; input columns named like the results are replaced by them.
+gives no rows; other columns, whatever their names, pass through keep_first as they are.
 """
 
 from __future__ import annotations
@@ -14,13 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import SPACE, cut, without
+from veriloom.llm.common import SPACE, cut
 
 #: Counters of the summary, and the winners that may be broadcast (64 bytes of digest each).
 COUNTERS, HEAVY = 16_384, 1_024
 #: A digest is settled map-side from so many copies on.
 HEAVY_ROWS = 32
-VERDICT = ["keep_id", "group_size", "kept", "text_sha256"]
 
 
 def digest(text: Column) -> Column:
@@ -59,7 +58,7 @@ def verdicts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
         .withColumn("keep_id", F.min("doc_id").over(whole))
         .withColumn("group_size", F.coalesce(F.col("group_size"), F.count(F.lit(1)).over(whole)))
     )
-    return copies.unionByName(rest).select("doc_id", *VERDICT)
+    return copies.unionByName(rest).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -70,9 +69,3 @@ def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     ranked = Window.partitionBy("text_sha256").orderBy(F.col("doc_id").asc_nulls_last())
     return tagged.withColumn("rank", F.row_number().over(ranked)).where("rank = 1").select("row.*")
 
-
-def annotate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with its verdict columns, joined by (doc_id, digest); rows alike in both share keep_id and group_size."""
-    groups = verdicts(docs, text, doc_id).groupBy("text_sha256").agg(F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size"))
-    base = docs.select(*[F.col(f"`{c}`") for c in without(docs, VERDICT)]).withColumn("text_sha256", digest(F.col(text)))
-    return base.join(groups, "text_sha256").withColumn("kept", F.col(doc_id).eqNullSafe(F.col("keep_id")))

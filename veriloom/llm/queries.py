@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from veriloom.llm import bpe, chat_format, exact_dedup, host_rules, language_crf, mixing, pii, quality_classifier, sharding, simhash
-from veriloom.llm.common import small_arrow_batches, table
+from veriloom.llm.common import table
+from veriloom.llm.vocabulary import byte_bpe_path, byte_bpe_pattern
 
 
 def op1_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,18 +68,8 @@ FROM f JOIN k ON f.source IS NOT DISTINCT FROM k.source
 """
 
 
-def vocabulary_path() -> str:
-    """Where a worker finds the rank file."""
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
-
-
 def op6_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    coded = bpe.tokenized(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path, public_tokenizers.PATTERN)
-    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return bpe.digests(bpe.tokenized(table(spark, sf_dir, "documents").select("doc_id", "text"), byte_bpe_path, byte_bpe_pattern()))
 
 
 def op7_schema_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,9 +113,26 @@ def op10_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_multi_index, op2_min_cost_flow_resharding, op3_heavy_hitter_dedup, op4_bradley_terry_quality, op5_host_rules, op6_transducer_bpe, op7_schema_chat, op8_bootstrapped_pii, op9_crf_language, op10_systematic_mixing)}
+    own = (
+        op1_simhash_multi_index,
+        op2_min_cost_flow_resharding,
+        op3_heavy_hitter_dedup,
+        op4_bradley_terry_quality,
+        op5_host_rules,
+        op6_transducer_bpe,
+        op7_schema_chat,
+        op8_bootstrapped_pii,
+        op9_crf_language,
+        op10_systematic_mixing,
+        pipeline,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_heavy_hitter_dedup": OP3_SQL, "op5_host_rules": OP5_SQL, "op7_schema_chat": OP7_SQL}
+    return {"op3_heavy_hitter_dedup": OP3_SQL, "op5_host_rules": OP5_SQL, "op7_schema_chat": OP7_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -120,6 +120,7 @@ def plan(docs: DataFrame, old_shard: Column, shards: int = SHARDS, text: str = "
     least = max(1, total // (shards * GRAIN))
     keys = ["doc_id", "text_crc32", "size", "old_shard"]
     large = thin.where(F.col("size") > least).groupBy(*keys).count().collect()  # fewer than shards * GRAIN rows, by their size
+    large.sort(key=lambda r: tuple((r[k] is None, r[k] or 0) for k in keys))
     at = place_large([(r["size"] * r["count"], r["old_shard"]) for r in large], shards, capacity)
     loads = [0] * shards
     for r, j in zip(large, at):

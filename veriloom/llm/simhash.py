@@ -113,25 +113,38 @@ def _stars(table: DataFrame, probes: DataFrame) -> DataFrame:
     return points.join(centres, ["seg", "key", "v"]).where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, hot: int = HOT) -> DataFrame:
-    """doc_id, fp (signed long), component_id: the least doc_id that links reach."""
+def _labelled(docs: DataFrame, text: str, doc_id: str, words: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, fp), and for each distinct fp its component's label and least doc_id."""
     small_arrow_batches(docs.sparkSession)
     thin = cut(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(words)(F.col(text)).alias("fp")))
     fps = cut(thin.groupBy("fp").agg(F.min("doc_id").alias("least")))
     labels = components(links(fps.select("fp"), hot))
-    labelled = fps.join(labels, fps["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    names = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    return thin.join(labelled.select("fp", "label").join(names, "label").drop("label"), "fp").select("doc_id", "fp", "component_id")
+    known = fps.join(labels, fps["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    names = known.groupBy("label").agg(F.min("least").alias("component_id"))
+    return thin, known.select("fp", "label").join(names, "label")
 
 
-def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS) -> DataFrame:
-    """The rows of docs that stay: of each component the row with the least doc_id (of rows alike in it, one)."""
-    small_arrow_batches(docs.sparkSession)
-    keepers = near_duplicates(docs, text, doc_id, words).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "component_id").agg(F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n"))
-    keepers = keepers.select(F.col("doc_id").alias("__keep"), F.col("fp").alias("__fp"), F.col("n").alias("__n"))
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, hot: int = HOT) -> DataFrame:
+    """doc_id, fp (signed long), component_id: the least doc_id that links reach."""
+    thin, known = _labelled(docs, text, doc_id, words, hot)
+    return thin.join(known, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, hot: int = HOT) -> DataFrame:
+    """The rows of docs that stay: of each component the row with the least doc_id (of rows alike in it, one; null ids last)."""
+    thin, known = _labelled(docs, text, doc_id, words, hot)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("k")
+    chosen = thin.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("f")).select("fp", "f.doc_id")
+    chosen = chosen.join(known, "fp").groupBy("label").agg(first).select(F.col("k.doc_id").alias("__keep"), F.col("k.fp").alias("__fp"))
+    often = thin.groupBy("doc_id").count().where((F.col("count") > 1) | F.col("doc_id").isNull())
+    alike = F.col("__keep").eqNullSafe(F.col("doc_id"))
+    keepers = cut(chosen.join(often, alike, "left").select("__keep", "__fp", F.col("count").isNotNull().alias("__check")))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("__id"))
-    stay = packed.join(keepers, F.col("__id").eqNullSafe(F.col("__keep")))
-    single, several = stay.where("__n = 1"), stay.where("__n > 1")
-    same = fingerprint(words)(F.col(f"row.{text}")) == F.col("__fp")
-    ranked = Window.partitionBy("__id").orderBy(F.xxhash64(F.col(f"row.{text}")))
-    return single.select("row.*").union(several.where(same).withColumn("__r", F.row_number().over(ranked)).where("__r = 1").select("row.*"))
+    once = packed.join(keepers.where("NOT __check"), F.col("__id") == F.col("__keep")).select("row.*")
+    checked = keepers.where("__check")
+    if checked.isEmpty():
+        return once
+    # rows that share a doc_id, or have none: one row with the fingerprint that was kept
+    again = packed.join(checked, F.col("__id").eqNullSafe(F.col("__keep"))).where(fingerprint(words)(F.col(f"row.{text}")) == F.col("__fp"))
+    ranked = Window.partitionBy("__id", "__fp").orderBy(F.xxhash64(F.col(f"row.{text}")))
+    return once.union(again.withColumn("__r", F.row_number().over(ranked)).where("__r = 1").select("row.*"))
