@@ -87,7 +87,7 @@ def provision_number(section: Column) -> Column:
 def citation_key(section: Column, cited: Column) -> Column:
     """Number and bracketed subdivisions, without spaces, in lower case."""
     number, whole = provision_number(section), F.lower(F.regexp_replace(cited, r"\s+", ""))
-    tail = F.array_join(matches(F.substring(cited, F.greatest(F.locate(number, F.lower(cited)), F.lit(1)), F.length(cited)), r"\([^()]*\)"), "")
+    tail = F.array_join(matches(F.substring(cited, F.greatest(F.instr(F.lower(cited), number), F.lit(1)), F.length(cited)), r"\([^()]*\)"), "")
     return F.when(number == normalise_location(section), whole).otherwise(F.lower(F.regexp_replace(F.concat(number, tail), r"\s+", "")))
 
 

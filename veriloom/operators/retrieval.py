@@ -34,11 +34,13 @@ def query_terms(queries: DataFrame, query: str, text: str) -> DataFrame:
 def bm25(pieces: DataFrame, keys: list[str], text: str, terms: DataFrame, query: str, k1: float = K1, b: float = B) -> DataFrame:
     """keys, query, bm25 of each piece and query that share a term. Only terms of the queries leave the map side."""
     tokens = pieces.select(*keys, legal_tokens(F.col(text)).alias("tokens"))
-    sizes = tokens.select(F.size("tokens").alias("n"))
-    stats = sizes.agg(F.count(F.lit(1)).alias("pieces"), F.avg("n").alias("mean"))
-    vocabulary = terms.select("term").distinct()
-    met = tokens.select(*keys, F.size("tokens").alias("n"), F.explode("tokens").alias("term")).join(small(vocabulary), "term", "left_semi")
-    tf = met.groupBy(*keys, "n", "term").agg(F.count(F.lit(1)).alias("tf"))
+    vocabulary = small(terms.select("term").distinct().withColumn("asked", F.lit(True)))
+    # a row without a term stands for each piece, so that one pass over the texts gives sizes and counts
+    all_terms = tokens.select(*keys, F.size("tokens").alias("n"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("term"))
+    met = all_terms.join(vocabulary, "term", "left").where(F.col("asked") | F.col("term").isNull())
+    counts = met.groupBy(*keys, "n", "term").agg(F.count(F.lit(1)).alias("tf")).persist()
+    stats = counts.where("term IS NULL").agg(F.count(F.lit(1)).alias("pieces"), F.avg("n").alias("mean"))
+    tf = counts.where("term IS NOT NULL")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.crossJoin(F.broadcast(stats)).select("term", "mean", F.log(1 + (F.col("pieces") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     score = F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))

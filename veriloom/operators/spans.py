@@ -60,12 +60,12 @@ def increasing_runs(rows: DataFrame, keys: list[str], order: str, value: str) ->
 def merge_lines(words: DataFrame, keys: list[str]) -> DataFrame:
     """Boxes of words (page, x0, y0, x1, y1) to boxes of lines: a new line on a new page, or where the overlap in height with
     the word before is under half of the lower of the two."""
-    w = Window.partitionBy(*keys).orderBy("page", "y0", "x0")
+    w = Window.partitionBy(*keys).orderBy("page", "y0", "x0", "x1", "y1")
     p, a, b = (F.lag(c).over(w) for c in ("page", "y0", "y1"))
     marked = words.withColumn("__p", p).withColumn("__a", a).withColumn("__b", b)
     shared = F.least("y1", "__b") - F.greatest("y0", "__a")
     fresh = F.col("__p").isNull() | (F.col("__p") != F.col("page")) | (shared < 0.5 * F.least(F.col("y1") - F.col("y0"), F.col("__b") - F.col("__a")))
-    lined = islands(marked, keys, ["page", "y0", "x0"], fresh, "line")
+    lined = islands(marked, keys, ["page", "y0", "x0", "x1", "y1"], fresh, "line")
     return lined.groupBy(*keys, "line").agg(F.first("page").alias("page"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 

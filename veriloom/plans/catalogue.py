@@ -1,4 +1,8 @@
-"""Named queries over the test tables, with the SQL that gives the same rows."""
+"""Named queries over the test tables, with the SQL that gives the same rows.
+
+The tables hold no statutes, so each operator runs on the nearest one: documents are texts, sources economies, benchmark items
+indicators, labels review decisions, events logs, and the order tables mappings (nation as economy, brand as indicator).
+"""
 
 from __future__ import annotations
 
@@ -6,13 +10,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function (spark, folder) under its name."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from veriloom.plans import events, evidence, retrieval, spans, texts  # noqa: F401
+
+
+def queries() -> dict[str, Query]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLES)
+
+
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    """The composite shortlist: cosine, lexical and phrase tiers, joined and ranked."""
+    _load()
+    return QUERIES["shortlist_composite"](spark, folder)
