@@ -55,8 +55,8 @@ def span_overlap_join(spark: SparkSession, d: str) -> DataFrame:
 _BOXES = "b AS (SELECT l_orderkey, (l_partkey % 2)::INT AS page, l_partkey * 10 + l_linenumber AS x0, l_partkey * 10 + l_linenumber + 50 AS x1, (l_partkey % 60) AS y0, (l_partkey % 60) + 5 + l_quantity::INT % 9 AS y1 FROM lineitem)"
 
 
-@query(f"""WITH {_BOXES}, l AS (SELECT *, lag(page) OVER w AS p, least(y1, lag(y1) OVER w) - greatest(y0, lag(y0) OVER w) AS shared, least(y1 - y0, lag(y1) OVER w - lag(y0) OVER w) AS low FROM b WINDOW w AS (PARTITION BY l_orderkey ORDER BY page, y0, x0)),
-n AS (SELECT *, sum((p IS NULL OR p <> page OR shared < 0.5 * low)::INT) OVER (PARTITION BY l_orderkey ORDER BY page, y0, x0 ROWS UNBOUNDED PRECEDING) AS line FROM l)
+@query(f"""WITH {_BOXES}, l AS (SELECT *, lag(page) OVER w AS p, least(y1, lag(y1) OVER w) - greatest(y0, lag(y0) OVER w) AS shared, least(y1 - y0, lag(y1) OVER w - lag(y0) OVER w) AS low FROM b WINDOW w AS (PARTITION BY l_orderkey ORDER BY page, y0, x0, x1, y1)),
+n AS (SELECT *, sum((p IS NULL OR p <> page OR shared < 0.5 * low)::INT) OVER (PARTITION BY l_orderkey ORDER BY page, y0, x0, x1, y1 ROWS UNBOUNDED PRECEDING) AS line FROM l)
 SELECT l_orderkey, line::BIGINT AS line, min(page) AS page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM n GROUP BY l_orderkey, line""")
 def line_islands_merge(spark: SparkSession, d: str) -> DataFrame:
     x, y = F.col("l_partkey") * 10 + F.col("l_linenumber"), F.col("l_partkey") % 60
@@ -64,8 +64,8 @@ def line_islands_merge(spark: SparkSession, d: str) -> DataFrame:
     return S.merge_lines(boxes, ["l_orderkey"])
 
 
-@query("""WITH l AS (SELECT l_orderkey, at, v, lag(v) OVER (PARTITION BY l_orderkey ORDER BY at, v) AS p FROM (SELECT l_orderkey, l_linenumber * 100000000 + l_partkey AS at, l_partkey % 50 AS v FROM lineitem)),
-r AS (SELECT *, sum((p IS NULL OR v <= p)::INT) OVER (PARTITION BY l_orderkey ORDER BY at, v ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM l),
+@query("""WITH l AS (SELECT l_orderkey, pos, v, lag(v) OVER (PARTITION BY l_orderkey ORDER BY pos, v) AS p FROM (SELECT l_orderkey, l_linenumber * 100000000 + l_partkey AS pos, l_partkey % 50 AS v FROM lineitem)),
+r AS (SELECT *, sum((p IS NULL OR v <= p)::INT) OVER (PARTITION BY l_orderkey ORDER BY pos, v ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM l),
 c AS (SELECT l_orderkey, run, count(*) AS n FROM r GROUP BY ALL) SELECT l_orderkey, max(n) AS longest, count(*) AS runs FROM c GROUP BY l_orderkey""")
 def increasing_runs(spark: SparkSession, d: str) -> DataFrame:
     rows = T(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") * F.lit(100_000_000) + F.col("l_partkey")).alias("at"), (F.col("l_partkey") % 50).alias("v"))
