@@ -5,7 +5,8 @@ prefix ends, and may follow that prefix's last token (a pair may stand together
 The nondeterministic transducer follows all starts that can still become a token: (trie node, token before, tokens since the
 last one settled). A state of the deterministic one is the tuple of these; it is made when first met, kept with its steps, and
 a step emits the tokens that all starts agree on, so lookahead is bounded by the longest token. States and the outputs of
-whole words are kept up to a bound and then dropped, which changes memory, not results.
+whole words are kept up to a bound and then dropped, which changes memory, not results. A way out of a state is made a step
+when it is asked for again; the first time, the rest of the word is followed in the nondeterministic machine.
 
 Defined cases: a null text is the empty one (no tokens); repeated rows and nulls in other columns are of no account;
 text of any length is read in pieces of PIECES matches; an empty table gives no rows.
@@ -27,7 +28,9 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from veriloom.llm.common import small_arrow_batches
 
-MAX_STATES, MAX_PAIRS, MAX_WORDS, PIECES = 60_000, 300_000, 150_000, 65_536
+MAX_STATES, MAX_PAIRS, MAX_WORDS, PIECES = 60_000, 300_000, 300_000, 65_536
+#: Bytes to the end of a word up to which a way met for the first time is followed without making states.
+LONG_TAIL = 64
 
 
 class Transducer:
@@ -56,6 +59,7 @@ class Transducer:
         start = ((0, -1, ()),)
         self.ids, self.entries, self.ends = {start: 0}, [start], [()]
         self.steps: dict[int, tuple[int, tuple]] = {}
+        self.once: set[int] = set()  # ways out of states asked for once
 
     def merge(self, word: bytes, least: int = 1) -> list[int]:
         """The merges by rank, one after another, until so many parts are left: the definition, used on the bytes of a token."""
@@ -146,17 +150,59 @@ class Transducer:
         step = self.steps[state << 8 | byte] = (to, settled)
         return step
 
+    def _follow(self, state: int, rest: bytes) -> list[int]:
+        """The nondeterministic machine from a state to the end of a word, without making states: for ways met only once.
+        A start is (trie node, token before, tokens since as a linked list)."""
+        below, token_at, allowed = self.below, self.token_at, self.allowed
+        starts = []
+        for node, before, chain in self.entries[state]:
+            link = None
+            for token in chain:
+                link = (link, token)
+            starts.append((node, before, link))
+        link = None
+        for byte in rest:
+            alive, fresh = [], None
+            for node, before, link in starts:
+                nxt = below[node].get(byte)
+                if nxt is None:
+                    continue
+                if fresh is None and (token := token_at[nxt]) >= 0:
+                    if before < 0:
+                        fits = self._whole(token)
+                    else:
+                        fits = allowed.get(before << 32 | token)
+                        if fits is None:
+                            fits = self.may_follow(before, token)
+                    if fits:
+                        fresh = (0, token, (link, token))
+                if below[nxt] is not None:
+                    alive.append((nxt, before, link))
+            alive.append(fresh)
+            starts = alive
+        out, link = [], starts[-1][2]
+        while link is not None:
+            link, token = link
+            out.append(token)
+        out.reverse()
+        return out
+
     def encode(self, word: bytes) -> list[int]:
         whole = self.ranks.get(word)
         if whole is not None:
             return [whole]
-        if len(self.entries) > MAX_STATES:
+        if len(self.entries) > MAX_STATES or len(self.once) > 8 * MAX_STATES:
             self._forget()
         out: list[int] = []
-        state, steps = 0, self.steps
-        for b in word:
-            step = steps.get(state << 8 | b)
+        state, steps, once = 0, self.steps, self.once
+        for at, b in enumerate(word):
+            way = state << 8 | b
+            step = steps.get(way)
             if step is None:
+                if way not in once and len(word) - at <= LONG_TAIL:
+                    once.add(way)
+                    out += self._follow(state, word[at:])
+                    return out
                 step = self._determinise(state, b)
             state, settled = step
             if settled:
@@ -164,7 +210,7 @@ class Transducer:
             elif len(self.entries) > 8 * MAX_STATES:  # a word that alone makes too many: its state moves to a fresh machine
                 key = self.entries[state]
                 self._forget()
-                steps = self.steps
+                steps, once = self.steps, self.once
                 state = self.ids.setdefault(key, len(self.entries))
                 if state == len(self.entries):
                     self.entries.append(key)
