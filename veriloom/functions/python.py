@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from html.parser import HTMLParser
@@ -125,3 +126,29 @@ def error_rate_udf():
         return pa.array([None if x is None or y is None else error_rate(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
     return rate
+
+
+def phrases_in(phrases: list[str]):
+    """An Arrow function: the distinct phrases that a text contains. One pass with an automaton where its library is there."""
+    key = hashlib.sha256("\n".join(phrases).encode()).hexdigest()
+
+    @F.arrow_udf(ArrayType(StringType()))
+    def found(texts: pa.Array) -> pa.Array:
+        try:
+            import ahocorasick
+        except ImportError:
+            return pa.array([[p for p in phrases if p in (t or "")] for t in texts.to_pylist()], pa.list_(_STRING))
+        machine = _machines.get(key)
+        if machine is None and phrases:
+            machine = ahocorasick.Automaton()
+            for p in phrases:
+                machine.add_word(p, p)
+            machine.make_automaton()
+            _machines.clear()
+            _machines[key] = machine
+        return pa.array([sorted({p for _, p in machine.iter(t)}) if t and machine else [] for t in texts.to_pylist()], pa.list_(_STRING))
+
+    return found
+
+
+_machines: dict = {}

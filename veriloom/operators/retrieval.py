@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veriloom.functions.python import phrases_in
 from veriloom.functions.text import legal_tokens, overlap_starts
 
 #: Lexical weights (the Lucene form), and the shortlist's.
@@ -14,6 +15,8 @@ COSINE_SHARE, LEXICAL_SHARE, PHRASE_SHARE = 0.45, 0.25, 0.3
 LEAST_COSINE, GATE_TOP = 0.45, 20
 #: A vocabulary is broadcast up to so many rows.
 VOCABULARY_ROWS = 500_000
+#: Phrases that an automaton may hold.
+DIMENSION_ROWS = 100_000
 
 
 def small(df: DataFrame, limit: int = VOCABULARY_ROWS) -> DataFrame:
@@ -68,6 +71,13 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms > 0, dot(a, b) / norms).otherwise(F.lit(0.0))
 
 
+def best_cosine(vectors: DataFrame, key: str, vector: str, pillars: DataFrame, pillar: str) -> DataFrame:
+    """key, cosine: the largest cosine with any pillar (a small table). Both sides are made unit vectors once."""
+    v = vectors.select(key, unit(F.col(vector)).alias("__v"))
+    p = pillars.select(unit(F.col(pillar)).alias("__p"))
+    return v.crossJoin(F.broadcast(p)).groupBy(key).agg(F.max(dot(F.col("__v"), F.col("__p"))).alias("cosine"))
+
+
 def unit(vector: Column) -> Column:
     norm = F.greatest(F.sqrt(dot(vector, vector)), F.lit(1e-12))
     return F.transform(vector, lambda x: x.cast("double") / norm)
@@ -98,8 +108,15 @@ def gate(pairs: DataFrame, doc: str, chunk: str, indicator: str, cos: str, lexic
 def phrase_scores(pieces: DataFrame, doc: str, text: str, phrases: DataFrame, query: str, phrase: str, n_docs: int) -> DataFrame:
     """doc, query, phrase_score: the best window's count of discriminating phrases (met in half the documents or fewer), a third
     each, one at most."""
-    low = pieces.select(doc, "window", F.lower(text).alias("low"))
-    met = low.join(small(phrases.select(query, phrase).distinct()), F.contains(F.col("low"), F.lower(F.col(phrase))))
+    listed = phrases.select(query, phrase).distinct()
+    rows = listed.limit(DIMENSION_ROWS + 1).collect()
+    if len(rows) <= DIMENSION_ROWS:  # a dimension: one automaton finds all its phrases in one pass over a text
+        names = sorted({r[phrase].lower() for r in rows if r[phrase]})
+        found = pieces.select(doc, "window", F.explode(phrases_in(names)(F.lower(F.col(text)))).alias("__low"))
+        met = found.join(F.broadcast(listed.withColumn("__low", F.lower(phrase))), "__low").drop("__low")
+    else:
+        low = pieces.select(doc, "window", F.lower(text).alias("low"))
+        met = low.join(listed, F.contains(F.col("low"), F.lower(F.col(phrase))))
     frequent = met.groupBy(phrase).agg(F.count_distinct(doc).alias("df")).where(F.col("df") <= F.greatest(F.lit(1), F.floor(F.lit(n_docs) / 2)))
     per_window = met.join(small(frequent.select(phrase)), phrase).groupBy(doc, query, "window").agg(F.count(F.lit(1)).alias("n"))
     return per_window.groupBy(doc, query).agg(F.least(F.lit(1.0), F.max("n") / 3.0).alias("phrase_score"))

@@ -75,9 +75,9 @@ def _cosines(spark: SparkSession, d: str) -> DataFrame:
     vectors = T(spark, d, "embeddings")
     pillars = R.centroids(vectors, "label", "embedding").select("label", "centroid")
     n = vectors.count()
-    bound = T(spark, d, "documents").select("doc_id", (F.col("doc_id") % n).alias("vec_id")).join(vectors.select("vec_id", "embedding"), "vec_id")
-    # pillars are a dimension: one row a label
-    return bound.crossJoin(R.small(pillars, 10_000)).groupBy("doc_id").agg(F.max(R.cosine(F.col("embedding"), F.col("centroid"))).alias("cosine"))
+    # pillars are a dimension, one row a label; each vector is scored once, then bound to its documents
+    best = R.best_cosine(vectors, "vec_id", "embedding", R.small(pillars, 10_000), "centroid")
+    return T(spark, d, "documents").select("doc_id", (F.col("doc_id") % n).alias("vec_id")).join(best, "vec_id").select("doc_id", "cosine")
 
 
 @query(f"WITH {_COS} SELECT doc_id, round(cosine, 6) AS cosine FROM cs")

@@ -114,7 +114,7 @@ SELECT doc_id, coalesce(m.n, 0) > 3 OR coalesce(a.n, 0) > 3 AS degenerate FROM t
 def degenerate_text(spark: SparkSession, d: str) -> DataFrame:
     t = T(spark, d, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("w"))
     # counts of runs within the row: sorted neighbours, so nothing leaves it
-    runs = F.array_sort(F.expr("transform(sequence(1, greatest(size(w) - 2, 0)), i -> if(i < 1 or i > size(w) - 2, null, concat_ws(' ', w[i - 1], w[i], w[i + 1])))"))
+    runs = F.sort_array(F.expr("transform(sequence(1, greatest(size(w) - 2, 0)), i -> if(i < 1 or i > size(w) - 2, null, concat_ws(' ', w[i - 1], w[i], w[i + 1])))"))
     four = F.exists(F.arrays_zip(F.col("r").alias("a"), F.slice("r", 4, 1 << 30).alias("b")), lambda z: z["a"] == z["b"])
     beside = F.size(F.filter(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, 1 << 30).alias("b")), lambda z: z["a"] == z["b"]))
     return t.withColumn("r", F.filter(runs, lambda x: x.isNotNull())).select("doc_id", (F.coalesce(four, F.lit(False)) | (beside > 3)).alias("degenerate"))
