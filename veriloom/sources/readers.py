@@ -11,7 +11,7 @@ from veriloom.functions.text import html_text, html_title, sniff_format
 SCHEMAS = {
     "documents": "document_id string, economy string, source_sha256 string, title string, language string, source_url string, local_path string, ocr_applied boolean, full_text string",
     "chunks": "chunk_id string, document_id string, section_label string, char_start int, char_end int, page_start int, page_end int, chunk_kind string, embedding array<float>",
-    "mappings": "run_id string, mapping_id string, document_id string, chunk_id string, economy string, indicator_id string, section string, subsection string, verbatim_quote string, page_number int, impact string, rdtii_score_contribution double, insufficient_evidence boolean, confidence double, verification_status string, uncertainty_flags array<string>, controlling_evidence boolean, extraction_attempts int, timeline struct<adopted:string,entry_into_force:string,last_amended:string,repeal_status:string>",
+    "mappings": "run_id string, mapping_id string, document_id string, chunk_id string, economy string, indicator_id string, section string, subsection string, verbatim_quote string, page_number int, impact string, score_contribution double, insufficient_evidence boolean, confidence double, verification_status string, uncertainty_flags array<string>, controlling_evidence boolean, extraction_attempts int, timeline struct<adopted:string,entry_into_force:string,last_amended:string,repeal_status:string>",
     "reviews": "run_id string, mapping_id string, status string, reviewer string, comment string, corrected_indicator_id string, reviewed_at timestamp",
     "events": "run_id string, seq bigint, ts string, type string, step string, document_id string, message string",
     "runs": "run_id string, kind string, economy string, pillars array<int>, indicators array<string>, engine string, status string, started_at timestamp, ended_at timestamp, prompt_tokens bigint, completion_tokens bigint, cost_usd double, provider_cost_usd double",
