@@ -20,7 +20,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from veriloom.llm.common import cut, maybe_broadcast, small_arrow_batches
 
-LEAST_WORDS, MOST_REPEATED, MOST_FAILED = 50, 50, 0.5
+LEAST_WORDS, MOST_REPEATED, MOST_FAILED = 50, 50, 0.8
 #: From so many words on, windows are counted in arrays, not in a table of tuples.
 LONG = 100_000
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

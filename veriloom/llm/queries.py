@@ -62,7 +62,7 @@ h AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS failed FROM f GROUP
 p AS (SELECT avg(failed / n) AS m, greatest(var_pop(failed / n) - avg(failed / n) * (1 - avg(failed / n)) * avg(1 / n), 0) AS v FROM h),
 b AS (SELECT m, CASE WHEN m <= 0 OR m >= 1 THEN NULL WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1), 1e6) ELSE 1 END AS s FROM p),
 q AS (SELECT coalesce(m * s, greatest(m, 0.01)) AS a, coalesce((1 - m) * s, greatest(1 - m, 0.01)) AS c FROM b),
-k AS (SELECT source, (failed + a) / (n + a + c) <= 0.5 AS host_kept FROM h, q)
+k AS (SELECT source, (failed + a) / (n + a + c) <= 0.8 AS host_kept FROM h, q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_kept AS kept
 FROM f JOIN k ON f.source IS NOT DISTINCT FROM k.source
 """
