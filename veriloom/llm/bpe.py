@@ -191,7 +191,7 @@ class Transducer:
         whole = self.ranks.get(word)
         if whole is not None:
             return [whole]
-        if len(self.entries) > MAX_STATES or len(self.once) > 8 * MAX_STATES:
+        if len(self.entries) > MAX_STATES or len(self.once) > 4 * MAX_STATES:
             self._forget()
         out: list[int] = []
         state, steps, once = 0, self.steps, self.once
@@ -251,6 +251,13 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.vocabulary = [self.machine.bytes_of.get(i, b"") for i in range(max(self.machine.bytes_of) + 1)]
 
+    def forget(self) -> None:
+        """Drops what was kept, so that a worker that waits for other work holds the vocabulary alone."""
+        self.words.clear()
+        self.words.old = {}
+        self.machine.allowed.clear()
+        self.machine._forget()
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -327,6 +334,7 @@ def encode(path, pattern: str):
         own = codec(_resolved(path), pattern)
         for batch in batches:
             yield pa.array([own.encode(t.as_py()) for t in batch], pa.binary())
+        own.forget()
 
     return bpe_encode
 
@@ -352,6 +360,7 @@ def both_ways(path, pattern: str):
         for batch in batches:
             ids = [own.encode(t.as_py()) for t in batch]
             yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.string())], ["ids", "decoded"])
+        own.forget()
 
     return bpe
 
