@@ -31,13 +31,25 @@ MAX_DOCS, LEAST_SEEN, LEXICON, ROUNDS, RATE, RIDGE = 500, 4, 3_000, 24, 0.5, 1e-
 MAX_WORDS = 400_000
 
 
-def word_features(word: str) -> list[str]:
-    core = word.strip(".,;:!?()[]{}\"'*#$%&|<>-_=+/0123456789")[:40]
+_MARKS = ".,;:!?()[]{}\"'*#$%&|<>-_=+/0123456789"
+
+
+def word_features(core: str) -> list[str]:
+    """Of a word without the marks around it: itself for the lexicon, prefixes and suffixes, trigrams with the word's ends."""
     if not core:
         return []
     own = f"^{core}$"
-    out = [f"w{core}"] + [f"p{core[:k]}" for k in (1, 2, 3) if len(core) >= k] + [f"s{core[-k:]}" for k in (1, 2, 3) if len(core) >= k]
-    return out + [own[i : i + 2] for i in range(len(own) - 1)] + [own[i : i + 3] for i in range(len(own) - 2)]
+    n = len(core)
+    out = ["w" + core, "p" + core[0], "s" + core[-1]]
+    if n > 1:
+        out += ["p" + core[:2], "s" + core[-2:]]
+    if n > 2:
+        out += ["p" + core[:3], "s" + core[-3:]]
+    return out + [own[i : i + 3] for i in range(n)]
+
+
+def core_of(word: bytes) -> str:
+    return word.decode("utf-8", "replace").strip(_MARKS)[:40]
 
 
 def lines_of(text: str) -> list[list[bytes]]:
@@ -94,11 +106,14 @@ def fit(texts: list[str], langs: list[str]) -> dict | None:
         return None
     word_at, gold_at = np.asarray(words), np.asarray(gold)
     often = np.bincount(word_at, minlength=len(ids))
-    lexicon = {f"w{w.decode('utf-8', 'replace').strip('.,;:!?')}" for w, _ in Counter(dict(zip(ids, often.tolist()))).most_common(LEXICON)}
+    cores: Counter = Counter()
+    for w, times in zip(ids, often.tolist()):
+        cores[core_of(w)] += times
+    lexicon = {f"w{c}" for c, _ in sorted(cores.items(), key=lambda x: (-x[1], x[0]))[:LEXICON] if c}
     seen: Counter = Counter()
     lists = []
     for w in ids:
-        found = [f for f in word_features(w.decode("utf-8", "replace")) if f[0] != "w" or f in lexicon]
+        found = [f for f in word_features(core_of(w)) if f[0] != "w" or f in lexicon]
         lists.append(found)
         seen.update(set(found))
     index = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= LEAST_SEEN or f in lexicon))}
@@ -131,25 +146,33 @@ def fit(texts: list[str], langs: list[str]) -> dict | None:
 
 
 class _Emissions(dict):
-    """Words to rows of a growing table of emissions."""
+    """Words to rows of a growing table of emissions; words that differ in the marks around them share a row."""
 
     def __init__(self, model: dict):
         super().__init__()
-        self.model = model
+        self.model, self.cores = model, {}
         self.rows = np.zeros((1024, len(model["names"])), np.float64)
 
+    def forget(self) -> None:
+        self.clear()
+        self.cores.clear()
+
     def __missing__(self, word: bytes) -> int:
-        at = self[word] = len(self)
-        if at >= len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        own = [i for f in word_features(word.decode("utf-8", "replace")) if (i := self.model["index"].get(f)) is not None]
-        self.rows[at] = self.model["weight"][own].sum(axis=0) if own else 0.0
+        core = core_of(word)
+        at = self.cores.get(core)
+        if at is None:
+            at = self.cores[core] = len(self.cores)
+            if at >= len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            own = [i for i in map(self.model["index"].get, word_features(core)) if i is not None]
+            self.rows[at] = np.add.reduce(self.model["weight"].take(own, axis=0)) if own else 0.0
+        self[word] = at
         return at
 
 
 def label_batch(emissions: _Emissions, texts: list[str | None]) -> list[tuple[str, float]]:
     if len(emissions) > MAX_WORDS:
-        emissions.clear()
+        emissions.forget()
     model = emissions.model
     owner, lengths, at = [], [], []
     lettered = [bool(t) and any(map(str.isalpha, t)) for t in texts]
