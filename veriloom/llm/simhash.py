@@ -15,7 +15,7 @@ is one shingle; a null doc_id never names a component unless all its ids are nul
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -133,6 +133,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, hot: int = HOT) -> DataFrame:
     """The rows of docs that stay: of each component the row with the least doc_id (of rows alike in it, one; null ids last)."""
     thin, known = _labelled(docs, text, doc_id, words, hot)
+    return rows_kept(docs, thin, known, fingerprint(words), text, doc_id)
+
+
+def rows_kept(docs: DataFrame, thin: DataFrame, known: DataFrame, named: Callable[[Column], Column], text: str, doc_id: str) -> DataFrame:
+    """keep_first from rows (doc_id, fp), the label of each distinct fp, and the function that gives a text's fp."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("k")
     chosen = thin.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("f")).select("fp", "f.doc_id")
     chosen = chosen.join(known, "fp").groupBy("label").agg(first).select(F.col("k.doc_id").alias("__keep"), F.col("k.fp").alias("__fp"))
@@ -145,6 +150,6 @@ def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
     if checked.isEmpty():
         return once
     # rows that share a doc_id, or have none: one row with the fingerprint that was kept
-    again = packed.join(checked, F.col("__id").eqNullSafe(F.col("__keep"))).where(fingerprint(words)(F.col(f"row.{text}")) == F.col("__fp"))
+    again = packed.join(checked, F.col("__id").eqNullSafe(F.col("__keep"))).where(named(F.col(f"row.{text}")) == F.col("__fp"))
     ranked = Window.partitionBy("__id", "__fp").orderBy(F.xxhash64(F.col(f"row.{text}")))
     return once.union(again.withColumn("__r", F.row_number().over(ranked)).where("__r = 1").select("row.*"))
