@@ -2,9 +2,11 @@
 
 What the base patterns find are seeds. The words around a seed are lexical patterns (left word with the marks between, right
 word, and both); other tokens with digits are candidates with patterns of their own. On the graph of patterns and instances
-Spark scores in turn: a pattern by the share of its instances that are of a kind (shrunk by one unknown instance), an
-instance by the noisy-or of its good patterns; what is accepted counts as an instance in the next round. A candidate needs TWO good
-patterns of LEAST_SEEDS instances each, so chance neighbours don't make a finding. Base spans always stay.
+Spark scores in turn: a pattern by the share of its known instances that are of a kind (shrunk by one unknown instance), an
+instance by the noisy-or of its good patterns; what is accepted counts as an instance in the next round. Known are seeds, what was
+accepted, and candidates that contradict a kind: letters in an ip, card or phone, none in an email. Other candidates count neither
+for nor against a pattern, however many there are. A candidate needs TWO good patterns of LEAST_SEEDS instances each, or, where it
+has only one, that one at ACCEPT, so chance neighbours don't make a finding. Base spans always stay.
 
 Defined cases: a null text is empty; null or repeated doc_ids are rows of their own; spans are code points, end exclusive;
 without seeds or candidates only base spans remain; every scan is linear in the text; an empty table gives no rows.
@@ -158,14 +160,18 @@ def bootstrap(slots: DataFrame, rounds: int = ROUNDS) -> DataFrame | None:
     seeds = edges.where("rank IS NOT NULL").select("surface", "rank", F.lit(1.0).alias("score")).distinct()
     known = edges.where("rank IS NOT NULL").select(F.col("surface").alias("s")).distinct()
     open_edges = edges.where("rank IS NULL").select("surface", "pattern").join(known, F.col("surface") == F.col("s"), "left_anti").distinct()
-    sizes = edges.groupBy("pattern").agg(F.count_distinct("surface").alias("n"))
+    against = cut(open_edges.groupBy("pattern", F.col("surface").rlike("[a-z]").alias("letters")).agg(F.count_distinct("surface").alias("against")))
+    needed = cut(open_edges.groupBy("surface").agg(F.least(F.count_distinct("pattern"), F.lit(LEAST_PATTERNS)).alias("least")))
     members = edges.select("surface", "pattern").distinct()
     scores, accepted, before = seeds, None, -1
     for _ in range(rounds):
         share = members.join(scores, "surface").groupBy("pattern", "rank").agg(F.sum("score").alias("mass"))
-        good = share.where(F.col("mass") >= LEAST_SEEDS).join(sizes, "pattern").withColumn("confidence", F.col("mass") / (F.col("n") + 1)).where(F.col("confidence") >= GOOD_PATTERN)
+        sizes = members.join(scores.select("surface").distinct(), "surface").groupBy("pattern").agg(F.count_distinct("surface").alias("n"))
+        share = share.where(F.col("mass") >= LEAST_SEEDS).withColumn("letters", F.col("rank") != KINDS.index("email"))
+        good = share.join(sizes, "pattern").join(against, ["pattern", "letters"], "left")
+        good = good.withColumn("confidence", F.col("mass") / (F.col("n") + F.coalesce("against", F.lit(0)) + 1)).where(F.col("confidence") >= GOOD_PATTERN)
         found = open_edges.join(good, "pattern").groupBy("surface", "rank").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("score"), F.count(F.lit(1)).alias("n"))
-        found = cut(found.where((F.col("n") >= LEAST_PATTERNS) & (F.col("score") >= ACCEPT)).select("surface", "rank", "score"))
+        found = cut(found.join(needed, "surface").where((F.col("n") >= F.col("least")) & (F.col("score") >= ACCEPT)).select("surface", "rank", "score"))
         n = found.count()
         if n == before or n == 0:
             accepted = found if n else accepted
