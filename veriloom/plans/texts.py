@@ -161,13 +161,13 @@ def dictionary_hit_rate(spark: SparkSession, d: str) -> DataFrame:
 @query(None)
 def unicode_forms(spark: SparkSession, d: str) -> DataFrame:
     """Composed text with the places of its code points, and the name key in compatibility form."""
-    t = T(spark, d, "documents").select("doc_id", "source", P.compose_udf()(F.col("text")).alias("c"), P.law_key_udf()(F.substring("text", 1, 80)).alias("law_key"))
+    t = T(spark, d, "documents").select("doc_id", "source", P.compose_udf()(F.col("text")).alias("c"), P.law_key_udf()(F.col("text")).alias("law_key"))
     return t.select("doc_id", F.length("c.text").alias("n"), F.size("c.old").alias("offsets"), "law_key")
 
 
 @query(None)
 def character_error_rate(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark passages against each other's neighbour: a semi-global distance, by the item before."""
-    b = T(spark, d, "benchmark").select("item_id", F.substring("text", 1, 120).alias("a"))
+    b = T(spark, d, "benchmark").select("item_id", F.col("text").alias("a"))
     other = b.select((F.col("item_id") + 1).alias("item_id"), F.col("a").alias("b"))
     return b.join(other, "item_id").select("item_id", F.round(P.error_rate_udf()(F.col("a"), F.col("b")), 6).alias("rate"))
