@@ -29,6 +29,8 @@ from veriloom.llm.quality_classifier import remainder
 MAX_DOCS, LEAST_SEEN, LEXICON, ROUNDS, RATE, RIDGE = 500, 4, 3_000, 24, 0.5, 1e-4
 #: Words kept with their emissions in a Python worker.
 MAX_WORDS = 400_000
+#: Characters of a word; longer runs, as in text without spaces, are read in pieces.
+LONGEST = 40
 
 
 _MARKS = ".,;:!?()[]{}\"'*#$%&|<>-_=+/0123456789"
@@ -49,12 +51,18 @@ def word_features(core: str) -> list[str]:
 
 
 def core_of(word: bytes) -> str:
-    return word.decode("utf-8", "replace").strip(_MARKS)[:40]
+    return word.decode("utf-8", "replace").strip(_MARKS)
+
+
+def pieces(word: bytes) -> list[bytes]:
+    """A run of over LONGEST characters in consecutive pieces, each a word of its own; any other word as it is."""
+    core = core_of(word)
+    return [word] if len(core) <= LONGEST else [core[k : k + LONGEST].encode() for k in range(0, len(core), LONGEST)]
 
 
 def lines_of(text: str) -> list[list[bytes]]:
     lines = [x.split() for x in text.lower().encode("utf-8", "surrogatepass").split(b"\n")]  # ASCII white space
-    return [x for x in lines if x]
+    return [x if max(map(len, x)) <= LONGEST else [p for w in x for p in pieces(w)] for x in lines if x]
 
 
 class Sequences:
