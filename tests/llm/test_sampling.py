@@ -4,9 +4,11 @@ import random
 import re
 import zlib
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veriloom.llm import mixing, sharding
+from veriloom.llm.common import bounded_sample, numbered
 
 SCHEMA = "doc_id long, text string, source string, size string"
 
@@ -58,14 +60,66 @@ def test_many_small_rows_move_little(spark):
     assert sum(r["m"] for r in stats) <= 1.05 * need
 
 
+def files_of(path):
+    return {p.relative_to(path).as_posix(): p.read_bytes() for p in path.rglob("*.parquet")}
+
+
 def test_rewrite_touches_affected_shards_only(spark, tmp_path):
-    df = spark.createDataFrame([(i, "t" * (1 + i), "s") for i in range(60)], "doc_id long, text string, source string")
-    moves = sharding.plan(df, F.pmod("doc_id", F.lit(3)).cast("int"), shards=4)
-    numbers = sharding.rewrite(df, moves, str(tmp_path / "out"))
+    out = tmp_path / "out"
+    old = F.col("old")
+    df = spark.createDataFrame([(i, "t" * (1 + i % 7), "mine", k) for k in range(4) for i in range(100 * k, 100 * k + 40)], "doc_id long, text string, Shard string, old int")
+    data = df.columns[:3]
+    by, slot = sharding.layout(data)
+    assert (by, slot) == ("shard_", "slot")
+    df.withColumn(slot, F.lit(0).cast("long")).withColumn(by, old).drop("old").write.partitionBy(by).parquet(str(out))
+    before = files_of(out)
+    # a plan that moves shard 1 into 2 and leaves 0 and 3 alone
+    moves = sharding.plan(df, old, shards=4).select("doc_id", "size", "text_crc32", "old_shard", F.when(F.col("old_shard") == 1, 2).otherwise(F.col("old_shard")).alias("shard"))
+    moves = moves.withColumn("slot", F.row_number().over(Window.partitionBy("shard").orderBy("doc_id")).cast("long") - 1)
+    kept = spark.read.parquet(str(out))
+    numbers = sharding.rewrite(kept, moves, str(out), F.col(by), keep=data)
+    after = files_of(out)
+    assert numbers == [1, 2] and not (out / f"{by}=1").exists()
+    calm = {k for k in before if k.startswith((f"{by}=0/", f"{by}=3/"))}
+    assert calm and all(after.get(k) == before[k] for k in calm) and {k for k in after if k.startswith((f"{by}=0/", f"{by}=3/"))} == calm
+    back = spark.read.parquet(str(out)).collect()
+    assert sorted((r["doc_id"], r["text"], r["Shard"], r[by]) for r in back) == sorted((r["doc_id"], r["text"], "mine", 2 if r["old"] == 1 else r["old"]) for r in df.collect())
+    assert sorted(r[slot] for r in back if r[by] == 2) == list(range(80))
+
+
+def test_reshard_writes_each_of_the_rows_alike_once(spark, tmp_path):
+    rows = [(5, "again", f"v{k}", k % 3) for k in range(30)] + [(None, None, "n", k % 2) for k in range(20)] + [(i, "w " * i, "x", 0) for i in range(100, 140)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, slot string, old int")
+    moves = sharding.reshard(df, F.col("old"), str(tmp_path / "out"), shards=3, keep=["doc_id", "text", "slot"])
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert set(numbers) == {r["shard"] for r in back.select("shard").distinct().collect()}
-    want = {(r["doc_id"], r["shard"], r["slot"]) for r in moves.collect() if r["shard"] in numbers}
-    assert {(r["doc_id"], r["shard"], r["slot"]) for r in back.collect()} == want
+    assert back.columns == ["doc_id", "text", "slot", "slot_", "shard"]
+    got = back.collect()
+    assert sorted((repr(r["doc_id"]), repr(r["text"]), r["slot"]) for r in got) == sorted((repr(i), repr(t), v) for i, t, v, _ in rows)
+    want = sorted((repr(r["doc_id"]), r["shard"], r["slot"]) for r in moves.collect())
+    assert sorted((repr(r["doc_id"]), r["shard"], r["slot_"]) for r in got) == want
+    empty = df.limit(0)
+    assert sharding.reshard(empty, F.col("old"), str(tmp_path / "none"), shards=3).count() == 0
+
+
+def test_large_rows_alike_are_dealt_one_by_one(spark):
+    df = spark.createDataFrame([(7, "x" * 5000, "s") for _ in range(64)], "doc_id long, text string, source string")
+    loads = {r["shard"]: r["n"] for r in sharding.plan(df, F.lit(0), shards=8).groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    assert set(loads.values()) == {8}
+
+
+def test_bounded_sample_is_never_short(spark):
+    same = spark.range(30_000).select(F.lit(4).alias("doc_id"), F.lit("t").alias("text"))
+    some = spark.range(30_000).select(F.lit(4).alias("doc_id"), F.col("id").cast("string").alias("text"))
+    for df, n in ((same, 500), (some, 500), (same.limit(20), 20), (same.limit(0), 0)):
+        assert bounded_sample(df, F.col("doc_id"), 500).count() == n
+    draw = lambda df: sorted(r["text"] for r in bounded_sample(df, F.col("doc_id"), 500).collect())
+    assert draw(some) == draw(some.repartition(7))
+
+
+def test_numbers_of_rows_alike(spark):
+    df = spark.range(50_000).select((F.col("id") % 3).alias("k"), F.when(F.col("id") % 2 == 0, 1).alias("z"))
+    rows = numbered(df.where("k < 2"), ["k", "z"], "nth").groupBy("k", "z").agg(F.count("*").alias("n"), F.count_distinct("nth").alias("d"), F.min("nth").alias("a"), F.max("nth").alias("b")).collect()
+    assert len(rows) == 4 and all(r["n"] == r["d"] == r["b"] + 1 and r["a"] == 0 for r in rows)
 
 
 def test_mix_follows_its_targets(spark):

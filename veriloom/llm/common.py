@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word, as every contract of this subpackage has it: a run without ASCII white space.
@@ -46,16 +48,42 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store its path names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """rows: the counted rows of df. Beyond the limit the join shuffles."""
     return F.broadcast(df) if rows <= limit else df
 
 
 def bounded_sample(df: DataFrame, key: Column, most: int, slack: float = 2.0) -> DataFrame:
-    """The rows with the least hash of key, at most so many. A first cut by hash, from the count, keeps what is ranked small
-    whatever the size of df; it decides nothing, as the least hashes pass it."""
+    """min(n, most) rows: those with the least hash of the key and the row's other values. A first cut by hash, from the count,
+    keeps what is ranked small whatever the size of df; where repeated rows leave too few under the cut, it is widened, so
+    it decides nothing. Rows alike in all columns share a hash and are interchangeable."""
     n = df.count()
-    draw = F.pmod(F.xxhash64(key), F.lit(1 << 40))
-    if n > slack * most:
-        df = df.where(draw < int((1 << 40) * slack * most / n))
+    draw = F.pmod(F.xxhash64(key, *[F.col(f"`{c}`") for c in df.columns]), F.lit(1 << 40))
+    share = slack * most / max(n, 1)
+    while share < 1:
+        some = df.where(draw < int((1 << 40) * share))
+        if some.count() >= most:
+            return some.orderBy(draw).limit(most)
+        share *= 8
     return df.orderBy(draw).limit(most)
+
+
+def numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """rows with their number (from 0) among those alike in keys (nulls are alike), in an order of their own. Rows are cut
+    first, so that the numbers survive a lost executor; a block of BLOCK_ROWS neighbours is the most that one key ranks in a task."""
+    marked = rows.withColumn("__rid", F.monotonically_increasing_id())
+    marked = cut(marked.withColumn("__block", F.floor(F.col("__rid") / BLOCK_ROWS)))
+    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = marked.groupBy(*keys, "__block").agg(F.count(F.lit(1)).alias("__n"))
+    blocks = cut(blocks.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).where("__before > 0").drop("__n"))
+    at = [F.col(f"m.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "__block"]]
+    placed = marked.alias("m").join(maybe_broadcast(blocks, blocks.count()).alias("b"), reduce(and_, at), "left")
+    inside = Window.partitionBy(*keys, "__block").orderBy("__rid")
+    placed = placed.select("m.*", F.coalesce("b.__before", F.lit(0)).alias("__before"))
+    return placed.withColumn(name, F.col("__before") + F.row_number().over(inside) - 1).drop("__rid", "__block", "__before")

@@ -6,19 +6,25 @@ old shard is a line of blocks of about BLOCK_ROWS rows in hash order, and cut po
 where; only a block with a cut in it is split. Documents over 1/GRAIN of a shard (at most GRAIN times the shards, a bound that
 doesn't grow with the corpus) are placed first, one by one, at home where they fit. Law: bytes.
 
+plan says where each row goes; rewrite carries a plan out on a folder of shard=N folders, and reshard does both.
+
 Defined cases: a null text has 16 bytes and the CRC of the empty text; a null doc_id hashes like any value; rows alike in
-id, size and CRC are interchangeable; an empty table gives no rows.
+id, size and CRC are interchangeable, and each is written once; an empty table gives no rows; other columns, whatever their
+names, are written as they are.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import BLOCK_ROWS, cut, maybe_broadcast
+from veriloom.llm.common import BLOCK_ROWS, cut, maybe_broadcast, numbered, remove
 
 SHARDS = 40
 #: A document over the capacity / GRAIN counts as a block of its own.
@@ -119,12 +125,14 @@ def plan(docs: DataFrame, old_shard: Column, shards: int = SHARDS, text: str = "
     capacity = total / shards
     least = max(1, total // (shards * GRAIN))
     keys = ["doc_id", "text_crc32", "size", "old_shard"]
-    large = thin.where(F.col("size") > least).groupBy(*keys).count().collect()  # fewer than shards * GRAIN rows, by their size
-    large.sort(key=lambda r: tuple((r[k] is None, r[k] or 0) for k in keys))
-    at = place_large([(r["size"] * r["count"], r["old_shard"]) for r in large], shards, capacity)
+    alike = Window.partitionBy(*keys).orderBy("h")
+    big = cut(thin.where(F.col("size") > least).withColumn("nth", F.row_number().over(alike)))  # fewer than shards * GRAIN rows, by their size
+    large = big.select(*keys, "nth").collect()
+    large.sort(key=lambda r: tuple((r[k] is None, r[k] or 0) for k in (*keys, "nth")))
+    at = place_large([(r["size"], r["old_shard"]) for r in large], shards, capacity)
     loads = [0] * shards
     for r, j in zip(large, at):
-        loads[j] += r["size"] * r["count"]
+        loads[j] += r["size"]
     small = thin.where(F.col("size") <= least)
     olds = {r["old_shard"]: (r["b"], r["n"]) for r in small.groupBy("old_shard").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect()}
     names = sorted(olds)
@@ -150,9 +158,10 @@ def plan(docs: DataFrame, old_shard: Column, shards: int = SHARDS, text: str = "
         .withColumn("shard", F.coalesce(F.try_element_at(F.filter("ends", lambda e: F.col("middle") <= e["reach"]), F.lit(1))["shard"], last))
         .select(*keys, "h", "part", "shard")
     )
-    chosen = F.broadcast(spark.createDataFrame([(*(r[k] for k in keys), j) for r, j in zip(large, at)], "doc_id " + thin.schema["doc_id"].dataType.simpleString() + ", text_crc32 long, size long, old_shard int, shard int"))
-    same = [thin[k].eqNullSafe(chosen[k]) for k in keys]
-    cut_large = thin.where(F.col("size") > least).join(chosen, same).select(*[thin[k] for k in keys], thin["h"], F.lit(-1).cast("long").alias("part"), chosen["shard"])
+    kinds = f"doc_id {thin.schema['doc_id'].dataType.simpleString()}, text_crc32 long, size long, old_shard int, nth int, shard int"
+    chosen = F.broadcast(spark.createDataFrame([(*(r[k] for k in (*keys, "nth")), j) for r, j in zip(large, at)], kinds))
+    same = [big[k].eqNullSafe(chosen[k]) for k in (*keys, "nth")]
+    cut_large = big.join(chosen, same).select(*[big[k] for k in keys], big["h"], F.lit(-1).cast("long").alias("part"), chosen["shard"])
     placed = cut(cut_small.unionByName(cut_large))
     # slots: rank within (shard, old shard, part), after the rows of the pieces before it
     piece = ["shard", "old_shard", "part"]
@@ -162,13 +171,62 @@ def plan(docs: DataFrame, old_shard: Column, shards: int = SHARDS, text: str = "
     return placed.withColumn("rank", rank).join(maybe_broadcast(starts, starts.count()), piece).withColumn("slot", (F.col("before") + F.col("rank") - 1).cast("long")).select(*keys, "shard", "slot")
 
 
-def rewrite(docs: DataFrame, moves: DataFrame, path: str, doc_id: str = "doc_id") -> list[int]:
-    """Writes the affected shards of docs, those that give or take a row, as shard=N folders below path, and returns their
-    numbers; the files of others stay as they are. doc_id must be unique here."""
-    touched = moves.where("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct().cache()
-    numbers = sorted(r["shard"] for r in touched.collect())  # shard numbers, bounded by the shards
-    found = moves.join(F.broadcast(touched), "shard", "left_semi").select(F.col("doc_id").alias("__id"), "shard", "slot")
-    rows = docs.join(found, docs[doc_id].eqNullSafe(F.col("__id"))).drop("__id")
-    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
-    touched.unpersist()
+def layout(columns: Sequence[str]) -> tuple[str, str]:
+    """Names of the folders' column and of the slot's in the files: shard and slot, with underscores where a column has the name."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in ("shard", "slot"):
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out[0], out[1]
+
+
+def _matched(rows: DataFrame, moves: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with their moves: one to one, also where several are alike in keys."""
+    often = cut(moves.groupBy(*keys).count().where("count > 1").select(*keys))
+    n = often.count()
+    met = lambda a, b, on: a.alias("a").join(b.alias("b"), reduce(and_, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in on])).select("a.row", "b.shard", "b.slot")
+    if not n:
+        return met(rows, moves, keys)
+    marks = maybe_broadcast(often, n)
+    some = lambda df, how: df.join(marks, reduce(and_, [df[k].eqNullSafe(marks[k]) for k in keys]), how)
+    single = met(some(rows, "left_anti"), some(moves, "left_anti"), keys)
+    alike = [numbered(some(df, "left_semi"), keys, "nth") for df in (rows, moves)]
+    return single.unionByName(met(*alike, [*keys, "nth"]))
+
+
+def rewrite(docs: DataFrame, moves: DataFrame, path: str, old_shard: Column, keep: Sequence[str] | None = None, text: str = "text", doc_id: str = "doc_id") -> list[int]:
+    """Carries out moves (the plan of docs with old_shard) on path, which holds a folder for each shard: only affected shards,
+    those that give or take a row, are written, in the order of their slots; returns their numbers. The files of other
+    shards stay as they are, and the folder of a shard that gave all its rows away is removed.
+
+    Files hold the columns of docs named by keep (all of them) and the slot, under the names of layout(keep). docs may be read from
+    path itself, with old_shard its folder's column and keep without the layout's: new files are written aside by Spark's
+    committer and take the old ones' place only when all are written, so a job that fails changes nothing."""
+    keep = list(docs.columns if keep is None else keep)
+    by, slot = layout(keep)
+    keys = ["doc_id", "text_crc32", "size", "old_shard"]
+    touched = cut(moves.where("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("touched")).distinct())
+    numbers = sorted(r["touched"] for r in touched.collect())  # shard numbers, bounded by the shards
+    if not numbers:
+        return []
+    crc = F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(doc_id).alias("doc_id"), crc.alias("text_crc32"),
+        size_of(F.col(text)).alias("size"), old_shard.cast("int").alias("old_shard"),
+    )
+    rows = rows.join(F.broadcast(touched), F.col("old_shard") == F.col("touched"), "left_semi")
+    moved = cut(moves.join(F.broadcast(touched), F.col("old_shard") == F.col("touched"), "left_semi"))
+    out = _matched(rows, moved, keys).select("row.*", F.col("slot").alias(slot), F.col("shard").alias(by))
+    out = out.repartitionByRange(by, slot).sortWithinPartitions(by, slot)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    for shard in set(numbers) - {r["shard"] for r in moved.select("shard").distinct().collect()}:
+        remove(docs.sparkSession, f"{path}/{by}={shard}")
     return numbers
+
+
+def reshard(docs: DataFrame, old_shard: Column, path: str, shards: int = SHARDS, keep: Sequence[str] | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Plans and rewrites; returns the plan."""
+    moves = cut(plan(docs, old_shard, shards, text, doc_id))
+    rewrite(docs, moves, path, old_shard, keep, text, doc_id)
+    return moves
