@@ -27,45 +27,42 @@ def digest(text: Column) -> Column:
 
 
 def frequent(thin: DataFrame) -> DataFrame:
-    """Verified winners of the summary over thin (text_sha256, doc_id): text_sha256, keep_id, group_size."""
+    """Verified winners of the summary over thin (text_sha256, doc_id, rid): text_sha256, keep_id, keep_rid (the row that stays),
+    group_size."""
     named = thin.agg(F.expr(f"approx_top_k(text_sha256, {HEAVY}, {COUNTERS})").alias("t")).select(F.explode("t.item").alias("text_sha256"))
-    return (
-        thin.join(F.broadcast(named), "text_sha256")
-        .groupBy("text_sha256")
-        .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .where(F.col("group_size") >= HEAVY_ROWS)
-    )
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
+    won = thin.join(F.broadcast(named), "text_sha256").groupBy("text_sha256").agg(first.alias("k"), F.count(F.lit(1)).alias("group_size"))
+    return won.where(F.col("group_size") >= HEAVY_ROWS).select("text_sha256", F.col("k.doc_id").alias("keep_id"), F.col("k.rid").alias("keep_rid"), "group_size")
 
 
 def _thin(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    return cut(docs.select(F.col(doc_id).alias("doc_id"), digest(F.col(text)).alias("text_sha256")))
+    """Ids and digests, with a number of each row that is fixed by the checkpoint."""
+    return cut(docs.select(F.col(doc_id).alias("doc_id"), digest(F.col(text)).alias("text_sha256"), F.monotonically_increasing_id().alias("rid")))
 
 
 def verdicts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256. Only ids and digests are shuffled."""
     thin = _thin(docs, text, doc_id)
-    heavy = cut(frequent(thin))
-    tagged = thin.join(F.broadcast(heavy), "text_sha256", "left")
+    tagged = thin.join(F.broadcast(cut(frequent(thin))), "text_sha256", "left")
     settled = F.col("group_size").isNotNull()
-    first = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    copies = tagged.where(settled & ~first).withColumn("kept", F.lit(False))
-    # of a heavy group only the rows that bear its smallest id are ranked
-    ranked = Window.partitionBy("text_sha256").orderBy(F.col("doc_id").asc_nulls_last())
+    copies = tagged.where(settled).withColumn("kept", F.col("rid") == F.col("keep_rid"))
+    ranked = Window.partitionBy("text_sha256").orderBy(F.col("doc_id").asc_nulls_last(), "rid")
     whole = Window.partitionBy("text_sha256")
     rest = (
-        tagged.where(~settled | first)
+        tagged.where(~settled)
         .withColumn("kept", F.row_number().over(ranked) == 1)
         .withColumn("keep_id", F.min("doc_id").over(whole))
-        .withColumn("group_size", F.coalesce(F.col("group_size"), F.count(F.lit(1)).over(whole)))
+        .withColumn("group_size", F.count(F.lit(1)).over(whole))
     )
     return copies.unionByName(rest).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay, with all their columns: copies of winners go map-side, the rest is ranked after a shuffle."""
-    heavy = cut(frequent(_thin(docs, text, doc_id)))
+    """The rows of docs that stay, with all their columns: copies of winners go map-side, the rest is ranked after a shuffle.
+    As only rank 1 is asked for, each map task sends at most one row of a digest, so rows that share a winner's smallest
+    id (or all have none) don't gather in one task either."""
+    heavy = cut(frequent(_thin(docs, text, doc_id))).select("text_sha256", "keep_id", F.lit(True).alias("won"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("doc_id"), digest(F.col(text)).alias("text_sha256"))
-    tagged = rows.join(F.broadcast(heavy), "text_sha256", "left").where(F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    tagged = rows.join(F.broadcast(heavy), "text_sha256", "left").where(F.col("won").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id")))
     ranked = Window.partitionBy("text_sha256").orderBy(F.col("doc_id").asc_nulls_last())
     return tagged.withColumn("rank", F.row_number().over(ranked)).where("rank = 1").select("row.*")
-
