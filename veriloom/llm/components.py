@@ -1,6 +1,6 @@
 """Connected components of a graph given as links, by alternating large and small stars.
 
-Each round is two aggregations and two joins over the links; nothing is gathered on the driver but the count of changes.
+Each round is two aggregations and two joins over the links, hubs apart; nothing is gathered on the driver but the count of changes.
 """
 
 from __future__ import annotations
@@ -8,20 +8,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import cut
+from veriloom.llm.common import BLOCK_ROWS, cut
 
+#: Nodes that may be told map-side.
+HUBS = 50_000
 
-def _large_star(links: DataFrame) -> DataFrame:
+
+def _told(rows: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """rows with m of their node a. Nodes of very many rows, fewer than HUBS by their count, are told map-side, the others by a
+    shuffle, so the label that a giant component shares is no task of its own."""
+    least = cut(least)
+    many = F.col("n") > max(BLOCK_ROWS, n // HUBS)
+    hubs = F.broadcast(least.where(many).select("a", F.col("m").alias("hub_m")))
+    split = rows.join(hubs, "a", "left")
+    rest = split.where("hub_m IS NULL").drop("hub_m").join(least.where(~many).select("a", "m"), "a")
+    return split.where("hub_m IS NOT NULL").withColumnRenamed("hub_m", "m").unionByName(rest)
+
+
+def _large_star(links: DataFrame, n: int) -> DataFrame:
     """Links each node's larger neighbours to the least of its neighbourhood."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return _told(both, least, n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, n: int) -> DataFrame:
     """Links each node and its smaller neighbours to the least of them. Links run from larger a to smaller b."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
-    moved = links.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = links.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = _told(links, least, n).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
@@ -31,7 +45,7 @@ def components(links: DataFrame) -> DataFrame:
     now = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = _mark(now)
     while mark[0]:
-        now = cut(_small_star(_large_star(now)))
+        now = cut(_small_star(_large_star(now, mark[0]), mark[0]))
         after = _mark(now)
         if after == mark:
             break
