@@ -134,10 +134,46 @@ def test_chat_layouts_and_round_trip(spark):
     rows = {r["key"]: r for r in chat_format.formatted(df).select("key", "formatted", chat_format.read_back(F.col("formatted")).alias("t"), chat_format.learned(F.col("formatted"), F.col("loss")).alias("l")).collect()}
     told = {k: [(t["role"], t["text"]) for t in r["t"]] for k, r in rows.items()}
     ab = [("user", "a"), ("assistant", "b")]
-    assert told == {0: [("user", "hi"), ("assistant", "yes")], 1: ab, 2: ab, 3: ab, 4: [("user", "a"), ("assistant", "")], 5: ab, 6: [("user", "a"), ("user", "c"), ("assistant", "b")], 7: ab, 8: [], 9: []}
+    assert told == {0: [("user", "hi"), ("assistant", "yes")], 1: ab, 2: ab, 3: ab, 4: [("user", "a"), ("assistant", "")], 5: ab, 6: [("user", "a"), ("user", "c"), ("assistant", "b")], 7: ab, 8: [("unknown", '{"odd":1}')], 9: []}
     assert {k: r["l"] for k, r in rows.items()} == {0: "yes", 1: "b", 2: "b", 3: "b", 4: "", 5: "b", 6: "b", 7: "b", 8: "", 9: ""}
 
 
+UNLISTED = {
+    '{"messages":[{"role":"user","content":"hi","name":"x"},{"role":"assistant","content":"yes"}],"id":3}': ("extended", [("user", "hi"), ("assistant", "yes")]),
+    '{"messages":[{"role":"user","content":5},{"role":"assistant","content":"x"}]}': ("known", [("user", "5"), ("assistant", "x")]),
+    '{"messages":[{"role":"user","content":[{"text":"a","type":"t"}]}]}': ("extended", [("user", '[{"text":"a","type":"t"}]')]),
+    '{"messages":[{"role":"user","content":"a"},{"role":"assistant","text":"kept"}]}': ("unknown", [("unknown", '{"messages":[{"content":"a","role":"user"},{"role":"assistant","text":"kept"}]}')]),
+    '{"instruction":"a","input":"c","output":"b","tag":1}': ("extended", [("user", "a"), ("user", "c"), ("assistant", "b")]),
+    '{"instruction":"a","output":"b","tag":1}': ("extended", [("user", "a"), ("assistant", "b")]),
+    '"bare"': ("unknown", [("unknown", '"bare"')]),
+    '{"messages":["a"]}': ("unknown", [("unknown", '{"messages":["a"]}')]),
+}
+
+
+def test_chat_keeps_the_text_of_unlisted_layouts(spark):
+    df = spark.createDataFrame([(7, j, "clash") for j in UNLISTED], "key long, j string, formatted string").select("key", "formatted", F.parse_json("j").alias("record"))
+    df = df.unionByName(df.limit(1).select("key", "formatted", F.lit(None).cast("variant").alias("record")))
+    got = chat_format.formatted(df).select("verdict", "formatted", chat_format.read_back(F.col("formatted")).alias("t")).collect()
+    told = sorted((r["verdict"], [(t["role"], t["text"]) for t in r["t"]]) for r in got)
+    assert told == sorted([*UNLISTED.values(), ("unknown", [])])
+
+
+def test_chat_records_that_share_a_key_stay_apart(spark):
+    said = [f'{{"prompt":"{k}","response":"{k}{k}"}}' for k in "abab"]
+    df = spark.createDataFrame([(1, j) for j in said], "key long, j string").select("key", F.parse_json("j").alias("record"))
+    got = sorted([(t["role"], t["text"]) for t in r["t"]] for r in chat_format.formatted(df).select(chat_format.read_back(F.col("formatted")).alias("t")).collect())
+    assert got == sorted([("user", k), ("assistant", k + k)] for k in "abab")
+
+
+def test_chat_positions_of_many_turns(spark):
+    r = random.Random(4)
+    for n in (1, 2, 3, 4, 5, 15, 16, 17, 2000):
+        rows = [(1, t, r.choice(["user", "assistant", "tool"]), "<|" * r.randrange(3) + "é" * r.randrange(9)) for t in range(n)]
+        out = chat_format.formatted(chat_format.from_turn_rows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+        spans = [out["formatted"][s["start"] : s["start"] + s["length"]].replace("<\\|", "<|") for s in out["loss"]]
+        assert spans == [x for _, _, role, x in rows if role == "assistant"]
+
+
 def test_chat_turn_rows(spark):
     rows = [(1, t, r, x) for t, (r, x) in enumerate(zip(["user", "assistant", "sys tem\n", None, "assistant", "user", "user", "assistant", "user"], TRICKY))] + [(2, 0, "assistant", None), (None, 0, "user", "lost"), (3, 1, "user", "tie b"), (3, 1, "user", "tie a"), (4, None, "assistant", "x" * 100_000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
