@@ -3,8 +3,8 @@
 Within a source, documents are laid out by size, each with its expected copies r = target / size of the source; one random
 offset u is added to the prefix sums, and a document is emitted once for each integer that its piece of the line crosses:
 floor(r * (k + 1) + u) - floor(r * k + u) for the k-th. Laid out by size, neighbours are alike, so what is taken stays near
-the target; of OFFSETS evenly shifted draws of u, the one whose total comes nearest the target is the source's. The prefix sums are made of blocks: (source, size class, part of the ids), each of about BLOCK_ROWS rows, so no
-source is ever ordered in one task.
+the target. The prefix sums are made of blocks: (source, size class, part of the ids), each of a number of rows that grows with
+the table up to BLOCK_ROWS, so no source is ever ordered in one task.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; a null doc_id is drawn like
 any other; rows alike in id and size are interchangeable; a source of size 0 gets nothing; an empty table gives no rows.
@@ -24,8 +24,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
 #: Size classes to a doubling.
 CLASSES = 8
-#: Offsets tried for each source: the drawn one and its shifts by 1/OFFSETS.
-OFFSETS = 16
+#: A block holds the table's rows over BLOCKS, but no fewer than LEAST_ROWS.
+BLOCKS, LEAST_ROWS = 1_024, 256
 
 
 def words(text: Column) -> Column:
@@ -66,12 +66,13 @@ def mix(docs: DataFrame, size: Column, source: Column, doc_id: Column, seed: int
     ).withColumn("class", _size_class(F.col("size")))
     thin = cut(rows.select("source", "class", "size", "draw", "id"))
     groups = cut(thin.groupBy("source", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")))
-    n_groups = groups.count()
+    n_groups, n_rows = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    block = min(BLOCK_ROWS, max(LEAST_ROWS, n_rows // BLOCKS))
     goal = targets(groups.groupBy("source").agg(F.sum("bytes").alias("source_size")), weights, cap)
     u = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), F.col("source")), F.lit(1024)) / 1024.0
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(cap)), F.col("target") / F.col("source_size"))).otherwise(0.0)
     goal = goal.select(F.col("source").alias("s"), "source_size", "target", rate.alias("rate"), u.alias("u"))
-    parts = groups.select(F.col("source").alias("s"), F.col("class").alias("c"), F.ceil(F.col("n") / BLOCK_ROWS).alias("parts"))
+    parts = groups.select(F.col("source").alias("s"), F.col("class").alias("c"), F.ceil(F.col("n") / block).alias("parts"))
 
     def dealt(df: DataFrame) -> DataFrame:
         at = df["source"].eqNullSafe(F.col("s")) & (df["class"] == F.col("c"))
@@ -89,18 +90,9 @@ def mix(docs: DataFrame, size: Column, source: Column, doc_id: Column, seed: int
         order = Window.partitionBy("source", "class", "part").orderBy("size", "draw", F.col("id").asc_nulls_last())
         return found.join(maybe_broadcast(blocks, n_blocks), at).withColumn("k", F.col("before") + F.row_number().over(order) - 1)
 
-    def copies(u: Column) -> Column:
-        step = F.floor(F.col("rate") * (F.col("k") + 1) + u) - F.floor(F.col("rate") * F.col("k") + u)
-        return F.least(F.lit(int(cap)), step).cast("long")
-
-    # what each of the OFFSETS candidates would take, and the one that comes nearest to the target
-    offsets = [(F.col("u") + j / OFFSETS) % 1.0 for j in range(OFFSETS)]
-    taken = ranked(thin).groupBy("s").agg(F.first("target").alias("target"), F.first("u").alias("u"), *[F.sum(copies(o) * F.col("size")).alias(f"t{j}") for j, o in enumerate(offsets)])
-    miss = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{j}") - F.col("target")).alias("by"), o.alias("u")) for j, o in enumerate(offsets)]))
-    best = cut(taken.select(F.col("s").alias("g"), miss["u"].alias("offset")))
-    out = ranked(rows)
-    out = out.join(maybe_broadcast(best, n_groups), out["s"].eqNullSafe(best["g"]))
-    return out.select("row", "size", "source_size", "target", copies(F.col("offset")).alias("copies"))
+    step = F.floor(F.col("rate") * (F.col("k") + 1) + F.col("u")) - F.floor(F.col("rate") * F.col("k") + F.col("u"))
+    copies = F.least(F.lit(int(cap)), step).cast("long")
+    return ranked(rows).select("row", "size", "source_size", "target", copies.alias("copies"))
 
 
 def emitted(docs: DataFrame, size: Column, source: Column, doc_id: Column, **how) -> DataFrame:
