@@ -5,16 +5,18 @@ is fitted by Newton's method on the logistic loss of the feature differences. A
 the one that splits the labels best, becomes the threshold, and the score is a logistic of the distance to it, scaled
 so that the threshold reads THRESHOLD. Features are shares within the text, so they mean the same at every length.
 
-The fit reads at most MAX_LABELLED labelled rows (those with the least hash of doc_id); scoring reads every whole text.
+The fit reads at most MAX_LABELLED labelled rows, half of each label (those with the least hash); scoring reads every whole text.
 
-Defined cases: a null text scores as the empty one; without both labels in the sample every score is 0.5; a null doc_id
-or label is never learned from; repeated labels of a document all count; an empty table gives no rows.
+Defined cases: a null text scores as the empty one; without rows of both labels every score is 0.5; a null doc_id or label is
+never learned from; a label that is repeated counts once, contrary ones count each; of repeated documents no more rows
+than the bound are learned from; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -114,10 +116,11 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
         for batch in batches:
             yield pa.array([features(t.as_py()) for t in batch], pa.list_(pa.float64()))
 
-    taught = labels.where((remainder(F.col("doc_id"), 5) != 0) & F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("__id"), "quality")
-    sample = bounded_sample(taught, F.col("__id"), most)
+    taught = labels.where((remainder(F.col("doc_id"), 5) != 0) & F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("__id"), "quality").distinct()
+    sample = reduce(DataFrame.unionByName, [bounded_sample(taught.where(F.col("quality") == q), F.col("__id"), most // 2) for q in (0, 1)])
     got = docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("__text")).join(F.broadcast(sample), F.col("__doc") == F.col("__id"))
-    rows = got.select("__id", "quality", measured(F.col("__text")).alias("x")).collect()  # at most MAX_LABELLED, but for repeated ids
+    seen = got.select("__id", "quality", measured(F.col("__text")).alias("x"))
+    rows = seen.orderBy(F.xxhash64("__id", "quality", "x")).limit(most).collect()  # at most MAX_LABELLED, however often ids repeat
     if not rows:
         return None
     rows.sort(key=lambda r: (r["__id"], r["quality"], r["x"]))
