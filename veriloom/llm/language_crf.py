@@ -5,8 +5,9 @@ lexicon of the commonest words; emission and transition weights are learned toge
 and forward-backward gives each word's posterior over languages, so code-switched text is labelled word by word. A document's
 language is the one with the most posterior mass over its words, its score that share.
 
-The fit reads at most MAX_DOCS labelled documents (those with the least hash of doc_id, whole texts) and keeps features met
-LEAST_SEEN times; prediction reads every whole text. Lines of a batch run side by side, longest first.
+The fit reads at most MAX_DOCS labelled documents, as many of each language (those with the least hash, whole texts), so a rare
+language is learned too, and keeps features met LEAST_SEEN times; prediction reads every whole text. A run of over LONGEST
+characters, as in text without spaces, is read whole, in consecutive pieces. Lines of a batch run side by side, longest first.
 
 Defined cases: a null text or one without a letter is "und" with score 0; without labelled documents all are "und"; a null
 doc_id is never learned from and isn't held out; repeated rows count each; an empty table gives no rows.
@@ -19,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from veriloom.llm.common import bounded_sample, small_arrow_batches
+from veriloom.llm.common import small_arrow_batches
 from veriloom.llm.quality_classifier import remainder
 
 MAX_DOCS, LEAST_SEEN, LEXICON, ROUNDS, RATE, RIDGE = 500, 4, 3_000, 24, 0.5, 1e-4
@@ -37,7 +38,7 @@ _MARKS = ".,;:!?()[]{}\"'*#$%&|<>-_=+/0123456789"
 
 
 def word_features(core: str) -> list[str]:
-    """Of a word without the marks around it: itself for the lexicon, prefixes and suffixes, trigrams with the word's ends."""
+    """Of a word without the marks around it: itself for the lexicon, prefixes and suffixes, bigrams and trigrams with its ends."""
     if not core:
         return []
     own = f"^{core}$"
@@ -47,7 +48,7 @@ def word_features(core: str) -> list[str]:
         out += ["p" + core[:2], "s" + core[-2:]]
     if n > 2:
         out += ["p" + core[:3], "s" + core[-3:]]
-    return out + [own[i : i + 3] for i in range(n)]
+    return out + [own[i : i + 2] for i in range(n + 1)] + [own[i : i + 3] for i in range(n)]
 
 
 def core_of(word: bytes) -> str:
@@ -212,9 +213,16 @@ def word_posteriors(model: dict, text: str) -> list[tuple[str, str, float]]:
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", most: int = MAX_DOCS) -> dict | None:
-    """Fits on documents whose lang may be learned: crc32(doc_id) mod 4 not 2."""
+    """Fits on documents whose lang may be learned: crc32(doc_id) mod 4 not 2. Hashes are ranked first, without the texts."""
     taught = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).where((remainder(F.col("i"), 4) != 2) & F.col("l").isNotNull() & F.col("t").isNotNull())
-    got = bounded_sample(taught, F.col("i"), most).collect()  # at most MAX_DOCS texts
+    taught = taught.withColumn("draw", F.xxhash64("i", "t"))
+    n = taught.agg(F.count_distinct("l")).first()[0]
+    each = max(1, most // max(n, 1))
+    first = Window.partitionBy("l").orderBy("draw")
+    ranked = lambda df: df.withColumn("place", F.row_number().over(first)).where(F.col("place") <= each)
+    reach = ranked(taught.select("l", "draw")).groupBy(F.col("l").alias("name")).agg(F.max("draw").alias("reach"))
+    near = taught.join(F.broadcast(reach.orderBy("reach", "name").limit(most)), (F.col("l") == F.col("name")) & (F.col("draw") <= F.col("reach")))
+    got = ranked(near).orderBy("draw").limit(most).collect()  # at most MAX_DOCS texts
     got.sort(key=lambda r: (r["i"], r["l"], r["t"]))
     return fit([r["t"] for r in got], [r["l"] for r in got])
 
