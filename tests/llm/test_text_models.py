@@ -47,7 +47,7 @@ def brute_measures(text):
     t = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
     many = {x for x in t if t.count(x) > 1} if len(t) < 500 else set(t)
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len({i + k for i, x in enumerate(t) if x in many for k in range(3)})
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len({i + k for i, x in enumerate(t) if x in many for k in range(3)}), len(lines)
 
 
 def test_measures():
@@ -73,6 +73,19 @@ def test_hosts_are_judged_and_shrunk(spark):
     assert host_rules.judged(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+def test_hosts_decide_on_documents_that_pass_the_base_rules(spark):
+    """Symbol junk goes where its host has more of it than hosts usually have, and is forgiven elsewhere; clean documents stay."""
+    good = " ".join(f"w{i}" for i in range(60))
+    junk = good + " #$%&*|<>"
+    rows = [(1000 * h + i, junk if i % 100 < (60 if h == 9 else 4) else good, f"h{h}") for h in range(10) for i in range(200)]
+    got = {r["doc_id"]: r for r in host_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    for i, t, h in rows:
+        assert got[i]["kept"] == (t == good or h != "h9"), (i, h)
+    odd = odd_frame(spark).withColumn("host", F.lit("clash")).withColumn("n_words", F.lit("clash"))
+    assert host_rules.judged(odd).count() == odd.count()
+
+
 @pytest.fixture(scope="module")
 def coder():
     return bpe.codec(byte_bpe_path(), byte_bpe_pattern())

@@ -5,8 +5,14 @@ word, and both); other tokens with digits are candidates with patterns of their
 Spark scores in turn: a pattern by the share of its known instances that are of a kind (shrunk by one unknown instance), an
 instance by the noisy-or of its good patterns; what is accepted counts as an instance in the next round. Known are seeds, what was
 accepted, and candidates that contradict a kind: letters in an ip, card or phone, none in an email. Other candidates count neither
-for nor against a pattern, however many there are. A candidate needs TWO good patterns of LEAST_SEEDS instances each, or, where it
-has only one, that one at ACCEPT, so chance neighbours don't make a finding. Base spans always stay.
+for nor against a pattern, however many there are. A candidate needs TWO good patterns of LEAST_SEEDS instances each that come to
+ACCEPT together, or one that has it alone (some 20 instances), so chance neighbours don't make a finding. Base spans always stay.
+
+A fifth kind, secret, has weak seeds: tokens of SECRET_LENGTH or more letters and digits, as keys have. They teach patterns like
+other seeds, but a secret, weak seed or candidate, becomes a span only where good patterns say so.
+
+A candidate has a digit and LEAST_LENGTH characters or more: identifiers without a digit, as names, are not sought. Words
+and marks around an instance count whole, however far they reach; long ones enter a pattern as their hash.
 
 Defined cases: a null text is empty; null or repeated doc_ids are rows of their own; spans are code points, end exclusive;
 without seeds or candidates only base spans remain; every scan is linear in the text; an empty table gives no rows.
@@ -18,15 +24,19 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from veriloom.llm.common import cut, small_arrow_batches
+from veriloom.llm.common import cut, maybe_broadcast, small_arrow_batches
 
-KINDS = ["email", "ip", "card", "phone"]
+KINDS = ["email", "ip", "card", "phone", "secret"]
+EMAIL, SECRET = KINDS.index("email"), KINDS.index("secret")
 ROUNDS, GOOD_PATTERN, ACCEPT, LEAST_SEEDS, LEAST_PATTERNS = 3, 0.8, 0.95, 5, 2
-LEAST_LENGTH, CONTEXT = 6, 48
+LEAST_LENGTH, SECRET_LENGTH = 6, 32
+#: Characters of a context that enter a pattern as they are.
+LONGEST = 48
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -35,7 +45,7 @@ _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._+@-")
-_LEFT, _RIGHT = re.compile(r"([^\W\d_]+)([^\w]*)$"), re.compile(r"[^\w]*([^\W\d_]+)")
+_SECRET = re.compile(rf"(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9]{{{SECRET_LENGTH},}}")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -113,26 +123,41 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
             start += 1
         while k < len(covered) and covered[k][1] <= start:
             k += 1
-        if end - start >= LEAST_LENGTH and not any(s < end and start < e for s, e in covered[k : k + 4]):
+        if end - start >= LEAST_LENGTH and not (k < len(covered) and covered[k][0] < end):
             out.append((start, end))
     return out
 
 
+def _short(context: str) -> str:
+    return context if len(context) <= LONGEST else f"#{xxhash.xxh64_hexdigest(context.encode('utf-8', 'surrogatepass'))}"
+
+
 def patterns(text: str, start: int, end: int) -> list[str]:
-    left = _LEFT.search(text[max(0, start - CONTEXT) : start])
-    right = _RIGHT.match(text[end : end + CONTEXT])
-    before = f"L:{left[1].lower()}{left[2].replace(' ', '')}" if left else ""
-    after = f"R:{right[1].lower()}" if right else ""
+    """What stands around an instance; a stretch between two instances is read by each of them once."""
+    i = start
+    while i > 0 and not (text[i - 1].isalnum() or text[i - 1] == "_"):
+        i -= 1
+    j = i
+    while j > 0 and text[j - 1].isalpha():
+        j -= 1
+    before = f"L:{_short(text[j:i].lower() + text[i:start].replace(' ', ''))}" if j < i else ""
+    i = end
+    while i < len(text) and not (text[i].isalnum() or text[i] == "_"):
+        i += 1
+    j = i
+    while j < len(text) and text[j].isalpha():
+        j += 1
+    after = f"R:{_short(text[i:j].lower())}" if i < j else ""
     return [p for p in (before, after, f"{before} {after}" if before and after else "") if p]
 
 
 def scan(text: str | None) -> tuple[list[dict], list[dict]]:
-    """Base spans, and slots: seeds (rank 0 to 3) and candidates (rank null) with surface and patterns."""
+    """Base spans, and slots: seeds (rank of their kind) and candidates (rank null) with surface and patterns."""
     if not text:
         return [], []
     base = base_spans(text)
     spans = [{"start": s, "rank": k, "stop": e} for s, k, e in base]
-    found = [(s, k, e) for s, k, e in base] + ([(s, None, e) for s, e in candidates(text, base)] if _DIGIT.search(text) else [])
+    found = [(s, k, e) for s, k, e in base] + ([(s, SECRET if _SECRET.fullmatch(text, s, e) else None, e) for s, e in candidates(text, base)] if _DIGIT.search(text) else [])
     return spans, [{"start": s, "rank": k, "stop": e, "surface": text[s:e].lower(), "patterns": patterns(text, s, e)} for s, k, e in found]
 
 
@@ -155,28 +180,36 @@ def scanner():
 
 
 def bootstrap(slots: DataFrame, rounds: int = ROUNDS) -> DataFrame | None:
-    """slots (surface, rank, patterns) to accepted (surface, rank); None if there are none."""
+    """slots (surface, rank, patterns) to accepted (surface, rank); None if there are none. Accepted are candidates and secrets."""
     edges = cut(slots.select("surface", "rank", F.explode("patterns").alias("pattern")).distinct())
-    seeds = edges.where("rank IS NOT NULL").select("surface", "rank", F.lit(1.0).alias("score")).distinct()
     known = edges.where("rank IS NOT NULL").select(F.col("surface").alias("s")).distinct()
     open_edges = edges.where("rank IS NULL").select("surface", "pattern").join(known, F.col("surface") == F.col("s"), "left_anti").distinct()
     against = cut(open_edges.groupBy("pattern", F.col("surface").rlike("[a-z]").alias("letters")).agg(F.count_distinct("surface").alias("against")))
-    needed = cut(open_edges.groupBy("surface").agg(F.least(F.count_distinct("pattern"), F.lit(LEAST_PATTERNS)).alias("least")))
+    secrets = edges.where(F.col("rank") == SECRET).select("surface", "pattern", F.lit(SECRET).alias("must"))
+    sought = cut(open_edges.select("surface", "pattern", F.lit(None).cast("int").alias("must")).unionByName(secrets))
+    seeds = edges.where("rank IS NOT NULL").select("surface", "rank", F.lit(1.0).alias("score")).distinct()
     members = edges.select("surface", "pattern").distinct()
     scores, accepted, before = seeds, None, -1
     for _ in range(rounds):
         share = members.join(scores, "surface").groupBy("pattern", "rank").agg(F.sum("score").alias("mass"))
         sizes = members.join(scores.select("surface").distinct(), "surface").groupBy("pattern").agg(F.count_distinct("surface").alias("n"))
-        share = share.where(F.col("mass") >= LEAST_SEEDS).withColumn("letters", F.col("rank") != KINDS.index("email"))
+        # letters in a candidate speak against ip, card and phone, their absence against an email, nothing against a secret
+        contrary = F.when(F.col("rank") != SECRET, F.col("rank") != EMAIL)
+        share = share.where(F.col("mass") >= LEAST_SEEDS).withColumn("letters", contrary)
         good = share.join(sizes, "pattern").join(against, ["pattern", "letters"], "left")
-        good = good.withColumn("confidence", F.col("mass") / (F.col("n") + F.coalesce("against", F.lit(0)) + 1)).where(F.col("confidence") >= GOOD_PATTERN)
-        found = open_edges.join(good, "pattern").groupBy("surface", "rank").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("score"), F.count(F.lit(1)).alias("n"))
-        found = cut(found.join(needed, "surface").where((F.col("n") >= F.col("least")) & (F.col("score") >= ACCEPT)).select("surface", "rank", "score"))
+        good = good.withColumn("confidence", F.col("mass") / (F.col("n") + F.coalesce("against", F.lit(0)) + 1))
+        good = cut(good.where(F.col("confidence") >= GOOD_PATTERN).select("pattern", "rank", "confidence"))
+        met = sought.join(maybe_broadcast(good, good.count()), "pattern").where(F.col("must").isNull() | (F.col("must") == F.col("rank")))
+        score = 1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))
+        found = met.groupBy("surface", "rank").agg(score.alias("score"), F.count(F.lit(1)).alias("n"), F.max("confidence").alias("best"))
+        enough = (F.col("n") >= LEAST_PATTERNS) & (F.col("score") >= ACCEPT) | (F.col("best") >= ACCEPT)
+        found = cut(found.where(enough).select("surface", "rank", "score"))
         n = found.count()
         if n == before or n == 0:
             accepted = found if n else accepted
             break
-        accepted, before, scores = found, n, seeds.unionByName(found)
+        accepted, before = found, n
+        scores = seeds.unionByName(found.join(known, F.col("surface") == F.col("s"), "left_anti"))
     if accepted is None:
         return None
     return accepted.groupBy("surface").agg(F.max_by("rank", F.struct("score", -F.col("rank"))).alias("rank"))
@@ -191,7 +224,7 @@ def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     accepted = bootstrap(slots)
     if accepted is None:
         return thin.select("doc_id", "base", F.col("base").alias("spans"))
-    added = slots.where("rank IS NULL").drop("rank").join(accepted, "surface").groupBy("row").agg(F.collect_list(F.struct("start", "rank", "stop")).alias("more"))
+    added = slots.where(F.col("rank").isNull() | (F.col("rank") == SECRET)).drop("rank").join(accepted, "surface").groupBy("row").agg(F.collect_list(F.struct("start", "rank", "stop")).alias("more"))
     return thin.join(added, "row", "left").select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(thin.schema["base"].dataType)))).alias("spans"))
 
 

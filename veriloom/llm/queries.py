@@ -47,24 +47,29 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("host")
 
 
-OP5_SQL = r"""
+_OP5_RULES = ("few_words", "repeats", "symbols", "dup_lines", "base")
+OP5_SQL = rf"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
 again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
 r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
-l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
+l AS (SELECT doc_id, count(*) AS lines, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
       WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 m AS (SELECT doc_id, source, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
-             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(l.lines, 0) AS n_lines
       FROM d LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
-f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-h AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS failed FROM f GROUP BY source),
-p AS (SELECT avg(failed / n) AS m, greatest(var_pop(failed / n) - avg(failed / n) * (1 - avg(failed / n)) * avg(1 / n), 0) AS v FROM h),
-b AS (SELECT m, CASE WHEN m <= 0 OR m >= 1 THEN NULL WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1), 1e6) ELSE 1 END AS s FROM p),
-q AS (SELECT coalesce(m * s, greatest(m, 0.01)) AS a, coalesce((1 - m) * s, greatest(1 - m, 0.01)) AS c FROM b),
-k AS (SELECT source, (failed + a) / (n + a + c) <= 0.8 AS host_kept FROM h, q)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_kept AS kept
-FROM f JOIN k ON f.source IS NOT DISTINCT FROM k.source
+f AS (SELECT *, n_words < 50 AS few_words, 100 * n_repeat_words > 50 * n_words AS repeats, 10 * n_symbols > n_words AS symbols, 2 * n_dup_lines > n_lines AS dup_lines,
+             n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base FROM m),
+h AS (SELECT source, rule, count(*) AS n, sum(failed::INT) AS failed FROM (UNPIVOT f ON {", ".join(_OP5_RULES)} INTO NAME rule VALUE failed) GROUP BY source, rule),
+p AS (SELECT rule, avg(failed / n) AS m, greatest(var_pop(failed / n) - avg(failed / n) * (1 - avg(failed / n)) * avg(1 / n), 0) AS v FROM h GROUP BY rule),
+b AS (SELECT rule, m, CASE WHEN m <= 0 OR m >= 1 THEN NULL WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1), 1e6) ELSE 1 END AS s FROM p),
+q AS (SELECT rule, coalesce(m * s, greatest(m, 0.01)) AS a, coalesce((1 - m) * s, greatest(1 - m, 0.01)) AS c FROM b),
+k AS (SELECT source, rule, n, (failed + a) / (n + a + c) AS rate, a / (a + c) AS mean, a + c AS s FROM h JOIN q USING (rule)),
+v AS (SELECT source, {", ".join(f"bool_or(rule = '{x}' AND rate > mean + 1e-9) AS s_{x}" for x in _OP5_RULES)},
+             bool_or(rule = 'base' AND rate - 2 * sqrt(rate * (1 - rate) / (n + s + 1)) > 0.5) AS condemned FROM k GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base AS base_failed,
+       NOT base AND NOT condemned AND NOT (symbols AND s_symbols) AND NOT (dup_lines AND s_dup_lines) AS kept
+FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """
 
 
@@ -99,8 +104,9 @@ FROM e GROUP BY conv_id
 
 def op8_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [pii.count_of("base", k).alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(pii.written("base"), 256).alias("base_sha256"), pii.written("spans").alias("spans"))
+    counts = [pii.count_of("base", k).alias(f"n_{k}") for k in pii.KINDS[: pii.SECRET]]
+    added = (F.size("spans") - F.size("base")).cast("long").alias("n_added")
+    return found.select("doc_id", *counts, F.sha2(pii.written("base"), 256).alias("base_sha256"), pii.written("spans").alias("spans"), added)
 
 
 def op9_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
