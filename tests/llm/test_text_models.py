@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -41,6 +42,33 @@ def test_quality_defined_cases(spark):
     assert quality_classifier.scored(docs.limit(0), some).count() == 0
 
 
+def test_quality_fit_is_the_least_loss():
+    """The weights against plain gradient descent on the same pairs; the threshold against every other."""
+    g = np.random.default_rng(5)
+    x = g.normal(size=(300, quality_classifier.N_FEATURES))
+    y = (x[:, 0] - 0.5 * x[:, 3] + g.normal(size=300) > 0).astype(int)
+    model = quality_classifier.fit(x, y, pairs=2_000)
+    z = (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-6)
+    draw = np.random.default_rng(5)
+    gap = z[draw.choice(np.nonzero(y == 1)[0], 2_000)] - z[draw.choice(np.nonzero(y == 0)[0], 2_000)]
+    w = np.zeros(x.shape[1])
+    for _ in range(20_000):
+        w += 0.3 * (gap.T @ (1 / (1 + np.exp(gap @ w))) / len(gap) - 1e-2 * w)
+    assert np.allclose(w, model["w"], atol=1e-4)
+    raw, good = z @ w, y == 1
+    gain = lambda t: (raw[~good] < t).mean() - (raw[good] < t).mean()
+    assert gain(model["cut"]) >= max(gain(t + 1e-9) for t in raw) - 1e-9
+
+
+def test_repeated_ids_are_bounded(spark):
+    same, other = [i for i in range(99) if zlib.crc32(str(i).encode()) % 5 and zlib.crc32(str(i).encode()) % 4 != 2][:2]
+    docs = spark.range(30_000).select(F.lit(same).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit(0).alias("quality"))
+    docs = docs.unionByName(spark.createDataFrame([(other, "some good words", 1)], "doc_id long, text string, quality int"))
+    labels = docs.select("doc_id", "quality", F.lit("x").alias("text"))
+    assert quality_classifier.learn(docs, labels, most=100) is not None
+    assert language_crf.learn(docs.withColumn("lang", F.when(F.col("doc_id") == other, "fr").otherwise("en")), most=100)["names"] == ["en", "fr"]
+
+
 def brute_measures(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -268,6 +296,15 @@ def test_language_held_out_and_switches(spark, sf):
     assert [x for _, x, _ in mixed[:4]] == ["en"] * 4 and [x for _, x, _ in mixed[-4:]] == ["de"] * 4
 
 
+def test_rare_languages_are_learned(spark):
+    rows = [(i, f"the house and the tree of number {i}", "en") for i in range(3000)] + [(5000 + i, f"der baum und das haus nummer {i}", "de") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_crf.learn(df, most=40)
+    assert model["names"] == ["de", "en"]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_crf.identified(df).collect()}
+    assert all(got[i] == k for i, _, k in rows)
+
+
 def test_language_defined_cases(spark):
     df = odd_frame(spark)
     rows = {repr((r["doc_id"])): r for r in language_crf.identified(df).collect()}

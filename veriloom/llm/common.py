@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from functools import reduce
 from operator import and_
 
@@ -48,6 +49,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written below the shared folder and read again, and its path. For iterations: a checkpoint hands on the size that the
+    planner guesses, which the joins of each round square until planning stalls; files have the size they have."""
+    checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder in whatever store its path names."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

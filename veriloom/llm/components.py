@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import BLOCK_ROWS, cut
+from veriloom.llm.common import BLOCK_ROWS, cut, remove, stored
 
 #: Nodes that may be told map-side.
 HUBS = 50_000
@@ -40,16 +40,16 @@ def _small_star(links: DataFrame, n: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links (a, b) of comparable ids to (node, label): label is the least node of the component. Nodes without a link to
+    """links (a, b) of comparable ids, never null, to (node, label): label is the least node of the component. Nodes without a link to
     another node are left out; self links and repeated links are harmless; no links give no rows."""
-    now = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now, path = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = _mark(now)
     while mark[0]:
-        now = cut(_small_star(_large_star(now, mark[0]), mark[0]))
-        after = _mark(now)
-        if after == mark:
+        after, written = stored(_small_star(_large_star(now, mark[0]), mark[0]))
+        remove(links.sparkSession, path)
+        now, path, before, mark = after, written, mark, _mark(after)
+        if mark == before:
             break
-        mark = after
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()
 
 

@@ -20,7 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriloom.llm.common import bounded_sample, small_arrow_batches
@@ -120,7 +120,8 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     sample = reduce(DataFrame.unionByName, [bounded_sample(taught.where(F.col("quality") == q), F.col("__id"), most // 2) for q in (0, 1)])
     got = docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("__text")).join(F.broadcast(sample), F.col("__doc") == F.col("__id"))
     seen = got.select("__id", "quality", measured(F.col("__text")).alias("x"))
-    rows = seen.orderBy(F.xxhash64("__id", "quality", "x")).limit(most).collect()  # at most MAX_LABELLED, however often ids repeat
+    place = F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("__id", "x")))
+    rows = seen.withColumn("place", place).where(F.col("place") <= most // 2).collect()  # at most MAX_LABELLED, however often ids repeat
     if not rows:
         return None
     rows.sort(key=lambda r: (r["__id"], r["quality"], r["x"]))
