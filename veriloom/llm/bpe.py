@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from veriloom.llm.common import small_arrow_batches
+from veriloom.llm.common import give_back, small_arrow_batches
 
 MAX_STATES, MAX_PAIRS, MAX_WORDS, PIECES = 60_000, 300_000, 300_000, 65_536
 #: Bytes to the end of a word up to which a way met for the first time is followed without making states.
@@ -335,6 +335,7 @@ def encode(path, pattern: str):
         for batch in batches:
             yield pa.array([own.encode(t.as_py()) for t in batch], pa.binary())
         own.forget()
+        give_back()
 
     return bpe_encode
 
@@ -361,6 +362,7 @@ def both_ways(path, pattern: str):
             ids = [own.encode(t.as_py()) for t in batch]
             yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.string())], ["ids", "decoded"])
         own.forget()
+        give_back()
 
     return bpe
 
@@ -375,8 +377,6 @@ def ids_list(packed: bytes) -> list[int]:
     return np.frombuffer(packed, "<u4").tolist()
 
 
-
-
 def digests(coded: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of what tokenized() gives."""
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

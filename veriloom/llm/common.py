@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +73,41 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
     return F.broadcast(df) if rows <= limit else df
 
 
+def rows_kept(docs: DataFrame, thin: DataFrame, keepers: DataFrame, named: Callable[[Column], Column], text: str, doc_id: str) -> DataFrame:
+    """The rows of docs that keepers (doc_id, fp) name, one for each, with all their columns. thin has (doc_id, fp) of all rows, named
+    gives the fp of a text. Whole rows are shuffled only where more than BROADCAST_ROWS ids go: fewer are told map-side."""
+    often = cut(thin.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("o")))
+    n_often = often.count()
+    ids = keepers.select(F.col("doc_id").alias("k")).where("k IS NOT NULL")
+    away = thin.select("doc_id").where("doc_id IS NOT NULL").join(ids, F.col("doc_id") == F.col("k"), "left_anti")
+    away = cut(away.unionByName(often.select(F.col("o").alias("doc_id")).where("doc_id IS NOT NULL")).distinct().select(F.col("doc_id").alias("g")))
+    n_away = away.count()
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("__id"))
+    if n_away <= BROADCAST_ROWS:
+        once = packed.where("__id IS NOT NULL").join(F.broadcast(away), F.col("__id") == F.col("g"), "left_anti")
+    else:
+        single = ids.join(often, F.col("k") == F.col("o"), "left_anti") if n_often else ids
+        once = packed.join(single, F.col("__id") == F.col("k"), "left_semi")
+    if not n_often:
+        return once.select("row.*")
+    # rows that share a doc_id, or have none: one row with the fingerprint that was kept
+    checked = cut(keepers.join(often, F.col("doc_id").eqNullSafe(F.col("o"))).select(F.col("doc_id").alias("k"), F.col("fp").alias("f")))
+    again = packed.join(maybe_broadcast(checked, checked.count()), F.col("__id").eqNullSafe(F.col("k"))).where(named(F.col(f"row.`{text}`")) == F.col("f"))
+    ranked = Window.partitionBy("__id", "f").orderBy(F.xxhash64(F.col(f"row.`{text}`")))
+    return once.select("row.*").union(again.withColumn("__r", F.row_number().over(ranked)).where("__r = 1").select("row.*"))
+
+
+def give_back() -> None:
+    """Hands memory that a Python worker has freed back to the system, so that a worker that waits holds little. Does nothing where
+    the C library has no such call."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+    pa.default_memory_pool().release_unused()
+
+
 def bounded_sample(df: DataFrame, key: Column, most: int, slack: float = 2.0) -> DataFrame:
     """min(n, most) rows: those with the least hash of the key and the row's other values. A first cut by hash, from the count,
     keeps what is ranked small whatever the size of df; where repeated rows leave too few under the cut, it is widened, so

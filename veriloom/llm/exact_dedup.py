@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import SPACE, cut
+from veriloom.llm.common import SPACE, cut, rows_kept
 
 #: Counters of the summary, and the winners that may be broadcast (64 bytes of digest each).
 COUNTERS, HEAVY = 16_384, 1_024
@@ -40,9 +40,7 @@ def _thin(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return cut(docs.select(F.col(doc_id).alias("doc_id"), digest(F.col(text)).alias("text_sha256"), F.monotonically_increasing_id().alias("rid")))
 
 
-def verdicts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256. Only ids and digests are shuffled."""
-    thin = _thin(docs, text, doc_id)
+def _judged(thin: DataFrame) -> DataFrame:
     tagged = thin.join(F.broadcast(cut(frequent(thin))), "text_sha256", "left")
     settled = F.col("group_size").isNotNull()
     copies = tagged.where(settled).withColumn("kept", F.col("rid") == F.col("keep_rid"))
@@ -57,12 +55,13 @@ def verdicts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     return copies.unionByName(rest).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def verdicts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256. Only ids and digests are shuffled."""
+    return _judged(_thin(docs, text, doc_id))
+
+
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay, with all their columns: copies of winners go map-side, the rest is ranked after a shuffle.
-    As only rank 1 is asked for, each map task sends at most one row of a digest, so rows that share a winner's smallest
-    id (or all have none) don't gather in one task either."""
-    heavy = cut(frequent(_thin(docs, text, doc_id))).select("text_sha256", "keep_id", F.lit(True).alias("won"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("doc_id"), digest(F.col(text)).alias("text_sha256"))
-    tagged = rows.join(F.broadcast(heavy), "text_sha256", "left").where(F.col("won").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    ranked = Window.partitionBy("text_sha256").orderBy(F.col("doc_id").asc_nulls_last())
-    return tagged.withColumn("rank", F.row_number().over(ranked)).where("rank = 1").select("row.*")
+    """The rows of docs that stay, with all their columns: judged by ids and digests, then told which rows go."""
+    thin = _thin(docs, text, doc_id)
+    keepers = cut(_judged(thin).where("kept").select("doc_id", F.col("text_sha256").alias("fp")))
+    return rows_kept(docs, thin.select("doc_id", F.col("text_sha256").alias("fp")), keepers, digest, text, doc_id)

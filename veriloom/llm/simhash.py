@@ -15,15 +15,15 @@ is one shingle; a null doc_id never names a component unless all its ids are nul
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import cut, small_arrow_batches
+from veriloom.llm.common import cut, give_back, rows_kept, small_arrow_batches
 from veriloom.llm.components import components
 
 RADIUS, WORDS, SEED = 3, 3, 42
@@ -56,6 +56,7 @@ def fingerprint(words: int = WORDS, seed: int = SEED):
     def simhash(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
             yield pa.array(np.array([fingerprint_of(t.as_py(), words, seed) for t in batch], dtype=np.uint64).view(np.int64))
+        give_back()
 
     return simhash
 
@@ -133,23 +134,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, hot: int = HOT) -> DataFrame:
     """The rows of docs that stay: of each component the row with the least doc_id (of rows alike in it, one; null ids last)."""
     thin, known = _labelled(docs, text, doc_id, words, hot)
-    return rows_kept(docs, thin, known, fingerprint(words), text, doc_id)
-
-
-def rows_kept(docs: DataFrame, thin: DataFrame, known: DataFrame, named: Callable[[Column], Column], text: str, doc_id: str) -> DataFrame:
-    """keep_first from rows (doc_id, fp), the label of each distinct fp, and the function that gives a text's fp."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("k")
-    chosen = thin.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("f")).select("fp", "f.doc_id")
-    chosen = chosen.join(known, "fp").groupBy("label").agg(first).select(F.col("k.doc_id").alias("__keep"), F.col("k.fp").alias("__fp"))
-    often = thin.groupBy("doc_id").count().where((F.col("count") > 1) | F.col("doc_id").isNull())
-    alike = F.col("__keep").eqNullSafe(F.col("doc_id"))
-    keepers = cut(chosen.join(often, alike, "left").select("__keep", "__fp", F.col("count").isNotNull().alias("__check")))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("__id"))
-    once = packed.join(keepers.where("NOT __check"), F.col("__id") == F.col("__keep")).select("row.*")
-    checked = keepers.where("__check")
-    if checked.isEmpty():
-        return once
-    # rows that share a doc_id, or have none: one row with the fingerprint that was kept
-    again = packed.join(checked, F.col("__id").eqNullSafe(F.col("__keep"))).where(named(F.col(f"row.{text}")) == F.col("__fp"))
-    ranked = Window.partitionBy("__id", "__fp").orderBy(F.xxhash64(F.col(f"row.{text}")))
-    return once.union(again.withColumn("__r", F.row_number().over(ranked)).where("__r = 1").select("row.*"))
+    return rows_kept(docs, thin, firsts(thin, known), fingerprint(words), text, doc_id)
+
+
+def firsts(thin: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, fp) of the row that stays of each label: thin holds (doc_id, fp) of the rows, known the label of each distinct fp."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("k")
+    alike = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("f")
+    chosen = thin.groupBy("fp").agg(alike).select("fp", "f.doc_id").join(known.select("fp", "label"), "fp")
+    return cut(chosen.groupBy("label").agg(least).select("k.doc_id", "k.fp"))
