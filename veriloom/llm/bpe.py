@@ -28,7 +28,7 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from veriloom.llm.common import give_back, small_arrow_batches
 
-MAX_STATES, MAX_PAIRS, MAX_WORDS, PIECES = 60_000, 300_000, 300_000, 65_536
+MAX_STATES, MAX_PAIRS, MAX_WORDS, PIECES = 40_000, 160_000, 160_000, 65_536
 #: Bytes to the end of a word up to which a way met for the first time is followed without making states.
 LONG_TAIL = 64
 
