@@ -149,7 +149,7 @@ def test_recall_and_precision(spark):
 def test_queue_cap_and_collapse(spark):
     rows = [("A", "a1", None, False), ("A", "a2", 0.9, False), ("B", "b1", 0.2, True), ("B", "b2", 0.2, False)]
     df = spark.createDataFrame(rows, "eco string, id string, conf double, ctl boolean")
-    assert [r["id"] for r in tables.review_queue(df, "conf", "id").collect()] == ["a1", "b1", "b2", "a2"]
+    assert [r["id"] for r in tables.review_queue(df.withColumn("run", F.lit(1)), "conf", "id", ["run"]).orderBy("place").collect()] == ["a1", "b1", "b2", "a2"]
     assert [r["id"] for r in evidence.round_robin(df, "eco", "conf", ["eco", "id"], 2).collect()] == ["a2", "b1"]
     kept = evidence.collapse(df, ["eco"], "ctl", "conf", "id").collect()
     assert {(r["id"], tuple(r["collapsed"])) for r in kept} == {("a2", ("a1",)), ("b1", ("b2",))}

@@ -23,7 +23,7 @@ def test_chunks_cover_and_follow_the_style(spark):
         assert spans[0][0] == 0 and spans[-1][1] == len(text) and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
     assert [r["label"] for r in by["words"]] == [None, "1", "2", "2A"] and by["words"][0]["kind"] == "front"
     assert [r["label"] for r in by["dots"]] == ["1", "2", "3", "4", "5"]
-    assert {r["kind"] for d in ("listed", "plain", "falling") for r in by[d]} == {"passage"}
+    assert all(r["label"] == f"Passage {k}" for d in ("listed", "plain", "falling") for k, r in enumerate(by[d], 1))
 
 
 def test_number_order(spark):

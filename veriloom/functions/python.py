@@ -7,6 +7,7 @@ import re
 import unicodedata
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
@@ -20,12 +21,22 @@ def _mapped(kind, arrow, one):
     return each
 
 
+def _joins(piece: str, c: str) -> bool:
+    """Whether a character changes its form, or the piece's, when it follows the piece."""
+    if unicodedata.combining(c):
+        return True
+    if c.isascii() and piece.isascii():
+        return False
+    nfc = lambda t: unicodedata.normalize("NFC", t)
+    return nfc(piece + c) != nfc(piece) + nfc(c)
+
+
 def compose(text: str) -> dict:
     """NFC text, and for each of its code points the place in the old text where it began."""
     new, old, at = [], [], 0
     while at < len(text):
         end = at + 1
-        while end < len(text) and (unicodedata.combining(text[end]) or "ᅠ" <= text[end] <= "ᇿ"):
+        while end < len(text) and _joins(text[at:end], text[end]):
             end += 1
         piece = unicodedata.normalize("NFC", text[at:end])
         new.append(piece)
@@ -71,15 +82,68 @@ def marker_key(token: str) -> str:
 
 
 def error_rate(reference: str, hypothesis: str) -> float:
-    """Edit distance of the reference to its best place in the hypothesis, over the reference's length."""
-    if not reference:
+    """Edit distance of the reference to its best place in the hypothesis, over the reference's length. White space
+    counts as one space. A row of distances is computed at a time: an insertion adds one to the least before it."""
+    a, b = " ".join(reference.split()), " ".join(hypothesis.split())
+    if not a:
         return 0.0
-    row = [0] * (len(hypothesis) + 1)
-    for i, a in enumerate(reference, 1):
-        last, row[0] = row[0], i
-        for j, b in enumerate(hypothesis, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
-    return min(row) / len(reference)
+    there, steps = np.frombuffer(b.encode("utf-32-le"), np.uint32), np.arange(len(b) + 1)
+    row = np.zeros(len(b) + 1, np.int64)
+    for i, c in enumerate(a, 1):
+        new = row + 1
+        new[0] = i
+        new[1:] = np.minimum(new[1:], row[:-1] + (there != ord(c)))
+        row = np.minimum.accumulate(new - steps) + steps
+    return int(row.min()) / len(a)
+
+
+# Marks that end a sentence.
+_ENDS = (".", "。", ";", "；", ":", "!", "?", "।")
+_BREAKS = (re.compile(r"\n(?=\n)"), re.compile(r"\n"), re.compile(r"\n"), re.compile(" "))
+
+
+def passage_starts(text: str, size: int = 1000) -> list[int]:
+    """Where passages of about so many characters begin: each ends at the break nearest to its length, within half of it, that
+    is best: a blank line, a line's end after a sentence, a line's end, a space; the last takes up to one and a half."""
+    starts = [0] if text else []
+    while starts and len(text) - starts[-1] > size * 3 // 2:
+        target = starts[-1] + size
+        low, high = target - size + size // 2, target - size + size * 3 // 2
+        for rank, mark in enumerate(_BREAKS):
+            ends = [m.end() for m in mark.finditer(text, low, high + (rank == 0)) if m.end() <= high]
+            if rank == 1:
+                ends = [e for e in ends if text[max(0, e - 1 - size) : e - 1].rstrip().endswith(_ENDS)]
+            if ends:
+                starts.append(min(ends, key=lambda e: (abs(e - target), e)))
+                break
+        else:
+            starts.append(target)
+    return starts
+
+
+_OUTER = re.compile(r"[()]")
+_QUOTED = re.compile(r"《([^》]*)》|“([^”]*)”|«([^»]*)»|\"([^\"]*)\"")
+
+
+def parenthesised(text: str) -> list[str]:
+    """What stands in each outermost pair of parentheses."""
+    out, open_at = [], []
+    for m in _OUTER.finditer(text):
+        if m[0] == "(":
+            open_at.append(m.end())
+        elif open_at:
+            start = open_at.pop()
+            if not open_at:
+                out.append(text[start : m.start()])
+    return out
+
+
+def law_keys(title: str) -> list[str]:
+    """All keys a title may be met by: its own, and those of names in another script in parentheses or quotes."""
+    flat = unicodedata.normalize("NFKC", title)
+    named = parenthesised(flat) + ["".join(m) for m in _QUOTED.findall(flat)]
+    foreign = lambda t: any(unicodedata.category(c)[0] == "L" and not unicodedata.name(c, "").startswith("LATIN") for c in t)
+    return [k for k in dict.fromkeys([law_key(title), *(law_key(n) for n in named if foreign(n))]) if k]
 
 
 class _Page(HTMLParser):
@@ -117,6 +181,9 @@ compose_udf = lambda: _mapped(StructType([StructField("text", StringType()), Str
 law_key_udf = lambda: _mapped(StringType(), _STRING, law_key)
 chinese_number_udf = lambda: _mapped(LongType(), pa.int64(), chinese_number)
 marker_key_udf = lambda: _mapped(StringType(), _STRING, marker_key)
+_STRINGS = pa.list_(_STRING)
+law_keys_udf = lambda: _mapped(ArrayType(StringType()), _STRINGS, law_keys)
+passage_starts_udf = lambda size: _mapped(ArrayType(LongType()), pa.list_(pa.int64()), lambda t: passage_starts(t, size))
 page_text_udf = lambda: _mapped(StringType(), _STRING, page_text)
 
 
@@ -129,15 +196,13 @@ def error_rate_udf():
 
 
 def phrases_in(phrases: list[str]):
-    """An Arrow function: the distinct phrases that a text contains. One pass with an automaton where its library is there."""
+    """An Arrow function: the distinct phrases that a text contains, in one pass with an automaton."""
     key = hashlib.sha256("\n".join(phrases).encode()).hexdigest()
 
     @F.arrow_udf(ArrayType(StringType()))
     def found(texts: pa.Array) -> pa.Array:
-        try:
-            import ahocorasick
-        except ImportError:
-            return pa.array([[p for p in phrases if p in (t or "")] for t in texts.to_pylist()], pa.list_(_STRING))
+        import ahocorasick
+
         machine = _machines.get(key)
         if machine is None and phrases:
             machine = ahocorasick.Automaton()

@@ -227,13 +227,13 @@ def html_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?m)[ \t\r ]+$", ""), r"\n{3,}", "\n\n"), r"^\n+|\n+$", "")
 
 
-def confidence(cosine: Column, quote_length: Column, n_indicators: Column, attempts: Column) -> Column:
+def confidence(cosine: Column, quote_length: Column, n_indicators: Column, attempts: Column, places: int = 2) -> Column:
     """Four weighted signals, to two places."""
     similarity = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (cosine - 0.35) / 0.40))
     length = F.least(F.lit(1.0), quote_length / 240.0)
     alone = F.when(n_indicators <= 1, 1.0).otherwise(F.greatest(F.lit(0.4), 1.0 - 0.15 * (n_indicators - 1)))
     tries = F.when(attempts == 1, 1.0).when(attempts == 2, 0.6).otherwise(0.3)
-    return F.bround(0.45 * similarity + 0.25 * length + 0.15 * alone + 0.15 * tries, 2)
+    return F.bround(0.45 * similarity + 0.25 * length + 0.15 * alone + 0.15 * tries, places)
 
 
 def document_id(hint: Column) -> Column:
@@ -259,3 +259,40 @@ def normalise_timestamp(value: Column) -> Column:
 def ocr_quality(word_confidence: Column, dictionary_hit: Column, escalated: Column, policy_reason: Column, least_confidence: float = 0.6, least_hit: float = 0.5) -> Column:
     manual = (word_confidence < least_confidence) | F.coalesce(dictionary_hit < least_hit, F.lit(False)) | policy_reason.isNotNull()
     return F.struct(F.greatest(F.lit(0.0), F.least(F.lit(1.0), word_confidence)).alias("mean_word_confidence"), dictionary_hit.alias("dictionary_hit_rate"), (escalated | manual).alias("cer_proxy_flag"), escalated.alias("escalated"), manual.alias("manual_review"), policy_reason.alias("manual_review_reason"))
+
+
+# Forms of markers: in brackets; before a bracket, a list comma or a full stop.
+_WORD = r"[\p{L}\p{M}\p{Nd}\p{Nl}]"
+BRACKETED = rf"[(（]\s*({_WORD}+)\s*[)）]"
+SUFFIXED = rf"({_WORD}{{1,4}})(?:[)）]|、|[.．](?=\s|$))"
+# The first of ten digits, of scripts that statutes number in; Chinese digits and tens.
+ZEROS = "０๐໐០၀०০٠۰᠐"
+CHINESE = "一二三四五六七八九"
+
+
+def _chinese_numerals() -> dict[str, str]:
+    """Numerals below a hundred to their values."""
+    ones = ["", *CHINESE]
+    tens = {10 * k: ("" if k == 1 else ones[k]) + "十" for k in range(1, 10)}
+    return {ones[k]: str(k) for k in range(1, 10)} | {tens[t] + ones[k]: str(t + k) for t in tens for k in range(10)} | {"一十" + ones[k]: str(10 + k) for k in range(10)}
+
+
+def marker_key(token: Column) -> Column:
+    """Numbers of any of the scripts as plain digits; other markers as they are."""
+    digits = "".join(chr(ord(z) + k) for z in ZEROS for k in range(10))
+    plain = F.translate(token, digits, "0123456789" * len(ZEROS))
+    number = F.when(plain.rlike("^[0-9]+$"), F.regexp_replace(plain, "^0+(?=[0-9])", ""))
+    return F.coalesce(number, F.create_map(*[F.lit(x) for kv in _chinese_numerals().items() for x in kv])[plain], plain)
+
+
+def cited_markers(reference: Column) -> Column:
+    """Keys of the markers that a reference cites: those in brackets, or a reference made of other markers alone."""
+    bracketed = F.regexp_extract_all(reference, F.lit(BRACKETED), F.lit(1))
+    others = F.when(reference.rlike(rf"^\s*(?:{SUFFIXED}\s*)+$"), F.regexp_extract_all(reference, F.lit(SUFFIXED), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    return F.transform(F.when(F.size(bracketed) > 0, bracketed).otherwise(others), marker_key)
+
+
+def present_markers(text: Column) -> Column:
+    """Keys of the markers of a provision: in brackets anywhere, others at the start of a line."""
+    lined = F.regexp_extract_all(text, F.lit(r"(?m)^[ \t\x{3000}(（]*" + SUFFIXED), F.lit(1))
+    return F.array_distinct(F.transform(F.concat(F.regexp_extract_all(text, F.lit(BRACKETED), F.lit(1)), lined), marker_key))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veriloom.functions.python import passage_starts_udf
 from veriloom.operators.spans import increasing_runs, lines
 
 # Drafting styles in order of precedence: name, heading pattern with the number as group 1, ambiguous, least run.
@@ -59,12 +60,14 @@ def headings(docs: DataFrame, doc: str, text: str, least_median: int = LEAST_MED
 
 
 def chunks(docs: DataFrame, doc: str, text: str, passage: int = PASSAGE) -> DataFrame:
-    """doc, chunk (from 0), label, kind, char_start, char_end: front matter and sections, or passages where no style holds."""
+    """doc, chunk (from 0), label, kind, char_start, char_end: front matter and sections; where no style holds, passages that
+    end at breaks of the text, labelled in turn."""
     heads = headings(docs, doc, text).select(doc, "offset", F.col("num").alias("label"), F.lit("section").alias("kind"))
     n = docs.select(doc, F.length(text).cast("long").alias("n"))
     front = heads.groupBy(doc).agg(F.min("offset").alias("first")).where("first > 0").select(doc, F.lit(0).cast("long").alias("offset"), F.lit(None).cast("string").alias("label"), F.lit("front").alias("kind"))
-    bare = n.where("n > 0").join(heads.select(doc).distinct(), doc, "left_anti")
-    cut = bare.select(doc, F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(passage).cast("long"))).alias("offset"), F.lit(None).cast("string").alias("label"), F.lit("passage").alias("kind"))
+    bare = docs.where(F.length(text) > 0).join(heads.select(doc).distinct(), doc, "left_anti")
+    cut = bare.select(doc, F.posexplode(passage_starts_udf(passage)(F.col(text))).alias("at", "offset"))
+    cut = cut.select(doc, "offset", F.concat(F.lit("Passage "), (F.col("at") + 1).cast("string")).alias("label"), F.lit("section").alias("kind"))
     starts = heads.unionByName(front).unionByName(cut)
     w = Window.partitionBy(doc).orderBy("offset")
     out = starts.withColumn("char_end", F.lead("offset").over(w)).withColumn("chunk", F.row_number().over(w) - 1)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veriloom.functions.text import normalise_location, quoted_words
 from veriloom.operators.evidence import controlling_first
+from veriloom.operators.spans import as_of
 
 
 def agreement(a: Column, b: Column, fields: list[str]) -> Column:
@@ -46,18 +47,51 @@ def shared_words(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
     return pairs.select(key).join(met, key, "left").fillna(0, ["shared", "n_a", "n_b"])
 
 
-def pass_windows(runs: DataFrame, economy: str, engine: str, run: str, started: str, ended: str, status: str) -> DataFrame:
-    """runs with window_start: the latest end of a completed run of another engine, in the economy, that ended by the run's start."""
-    done = runs.where(F.col(status) == "completed").select(F.col(economy).alias("__e"), F.col(engine).alias("__g"), F.col(ended).alias("__end"))
-    at = runs.join(done, (F.col(economy) == F.col("__e")) & (F.col(engine) != F.col("__g")) & (F.col("__end") <= F.col(started)), "left")
-    return runs.join(at.groupBy(run).agg(F.max("__end").alias("window_start")), run)
+def quote_difference(a: Column, b: Column) -> Column:
+    """How two quotes differ, in words."""
+    x, y = quoted_words(a), quoted_words(b)
+    one, two = F.array_join(x, " "), F.array_join(y, " ")
+    times = lambda w, words: F.size(F.filter(words, lambda v: v == w))
+    shared = F.aggregate(F.transform(F.array_distinct(x), lambda w: F.least(times(w, x), times(w, y))), F.lit(0), lambda s, n: s + n)
+    share = F.bround(100 * shared / F.greatest(F.size(x), F.size(y), F.lit(1))).cast("int")
+    told = F.concat(F.lit("different quoted words ("), share.cast("string"), F.lit("% of words shared, A "), F.size(x).cast("string"), F.lit(" words, B "), F.size(y).cast("string"), F.lit(" words)"))
+    more = lambda side: F.lit(f"Engine {side} quoted more of the same text")
+    return F.when(x == y, "same quoted words").when((two != "") & F.contains(one, two), more("A")).when((one != "") & F.contains(two, one), more("B")).otherwise(told)
+
 
+def difference(a: Column, b: Column) -> Column:
+    """What sets apart two records of a provision (structs of cite, key, indicator, quote)."""
+    precise = F.when(F.startswith(a["key"], b["key"]), ", A is the more precise citation").when(F.startswith(b["key"], a["key"]), ", B is the more precise citation").otherwise("")
+    cited = F.when(a["key"] != b["key"], F.concat(F.lit("Engine A cited "), a["cite"], F.lit(", Engine B cited "), b["cite"], precise))
+    mapped = F.when(a["indicator"] != b["indicator"], F.concat(F.lit("Engine A mapped it to "), a["indicator"], F.lit(", Engine B to "), b["indicator"]))
+    quotes = quote_difference(a["quote"], b["quote"])
+    alike = cited.isNull() & mapped.isNull() & (quotes == "same quoted words")
+    return F.when(alike, "Same provision, Indicator and quoted words on both Engines").otherwise(F.concat_ws("; ", cited, mapped, quotes))
 
-def run_discoveries(windows: DataFrame, found: DataFrame, economy: str, run: str, started: str, item: str, f_started: str, f_ended: str) -> DataFrame:
-    """(run, item) of discoveries that lie within a run's window; unfinished ones belong to none."""
-    w = windows.select(run, F.col(economy).alias("__e"), F.col(started).alias("__s"), "window_start")
-    ok = (F.col(economy) == F.col("__e")) & (F.col("window_start").isNull() | (F.col(f_started) >= F.col("window_start"))) & (F.col(f_ended) <= F.col("__s"))
-    return found.where(F.col(f_ended).isNotNull()).join(w, ok).select(run, item)
+
+def pass_windows(runs: DataFrame, economy: str, engine: str, run: str, started: str, ended: str, status: str) -> DataFrame:
+    """runs with window_start: the latest end of a completed run of another engine, in the economy, that ended by the run's start.
+    A run asks each other engine of its economy once, by an as-of lookup in order of time, so nothing is paired."""
+    done = runs.where(F.col(status) == "completed").select(economy, F.col(engine).alias("__g"), F.col(ended).alias("__end"))
+    others = done.select(economy, "__g").distinct()
+    asked = runs.select(F.col(run).alias("__run"), economy, F.col(engine).alias("__own"), F.col(started).alias("__at")).join(F.broadcast(others), economy).where("__own <> __g")  # a row an engine of an economy
+    key = F.struct(economy, "__g")
+    points = asked.select(key.alias("__k"), "__run", "__at")
+    found = as_of(points, done.select(key.alias("__k"), F.col("__end").alias("__from"), F.col("__end").alias("window_start")), "__k", "__at", "__from", "window_start", first=False)
+    last = found.groupBy("__run").agg(F.max("window_start").alias("window_start"))
+    return runs.join(last, F.col(run) == F.col("__run"), "left").drop("__run")
+
+
+def run_discoveries(windows: DataFrame, found: DataFrame, economy: str, run: str, started: str, item: str, f_started: str, f_ended: str, width: int = 86_400_000_000) -> DataFrame:
+    """(run, item) of discoveries that lie within a run's window; unfinished ones belong to none. Windows are dealt to cells of
+    time (width in the unit of the columns), and a discovery is looked up in the cell it began in."""
+    have = found.where(F.col(f_ended).isNotNull())
+    least = have.groupBy(economy).agg(F.min(f_started).alias("__least"))
+    w = windows.join(least, economy).select(F.col(run), F.col(economy).alias("__e"), F.col(started).alias("__s"), F.coalesce("window_start", "__least").alias("__w")).where("__w <= __s")
+    w = w.withColumn("__cell", F.explode(F.sequence(F.floor(F.col("__w") / width), F.floor(F.col("__s") / width))))
+    at = have.withColumn("__c", F.floor(F.col(f_started) / width))
+    ok = (F.col(economy) == F.col("__e")) & (F.col("__c") == F.col("__cell")) & (F.col(f_started) >= F.col("__w")) & (F.col(f_ended) <= F.col("__s"))
+    return at.join(w, ok).select(run, item)
 
 
 def engine_summary(runs: DataFrame, keys: list[str], started: str, ended: str, documents: str, cost: str, provider_cost: str) -> DataFrame:

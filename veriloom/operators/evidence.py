@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriloom.functions.text import instrument_rank, recency
+from veriloom.functions.text import cited_markers, instrument_rank, present_markers, recency
 
 # Natures that may score, scores of an empty cell, indicators whose score runs the other way.
 ELIGIBLE = {"6.1": ["transfer_ban"], "6.2": ["local_storage"], "6.3": ["local_infrastructure"], "6.4": ["conditional_transfer"], "7.1": ["protection_framework"], "7.2": ["protection_framework"], "7.3": ["retention_requirement"], "7.4": ["dpo_requirement", "dpia_only"], "7.5": ["government_access"]}
@@ -15,7 +15,6 @@ ABSENCE = {"6.1": 0.0, "6.2": 0.0, "6.3": 0.0, "6.4": 0.0, "7.1": 1.0, "7.2": 1.
 INVERSE = ["7.1", "7.2"]
 NOT_FOR_GOVERNMENT = ["6.1", "6.2", "6.3", "6.4", "7.3"]
 LEAST_QUOTE, CAP_ROWS = 15, 101
-BRACKETED = r"[(（]([0-9A-Za-z]{1,5})[)）]"
 
 
 def is_evidence(status: Column, insufficient: Column) -> Column:
@@ -23,14 +22,14 @@ def is_evidence(status: Column, insufficient: Column) -> Column:
 
 
 def verify_failures(quote: Column, chunk: Column, subsection: Column) -> Column:
-    """Messages: a quote under 15 characters, or not a substring of its chunk; cited markers that the chunk lacks."""
-    cited = F.regexp_extract_all(F.coalesce(subsection, F.lit("")), F.lit(BRACKETED), F.lit(1))
-    present = F.regexp_extract_all(chunk, F.lit(BRACKETED), F.lit(1))
+    """Messages: a quote under 15 characters, or not a substring of its chunk; cited markers, in brackets or other forms and
+    numbers of any script, that the chunk lacks."""
     blank = F.trim(F.coalesce(subsection, F.lit(""))) == ""
+    cited = cited_markers(F.coalesce(subsection, F.lit("")))
     tests = [
         F.when(F.length(F.trim(quote)) < LEAST_QUOTE, "quote too short").when(~F.contains(chunk, quote), "quote not found"),
         F.when(~blank & (F.size(cited) == 0), "subsection unparseable"),
-        F.when(~blank & (F.size(F.array_except(cited, present)) > 0), "marker not in chunk"),
+        F.when(~blank & (F.size(F.array_except(cited, present_markers(chunk))) > 0), "marker not in chunk"),
     ]
     return F.array_compact(F.array(*tests))
 
@@ -116,11 +115,12 @@ def presence_scores(records: DataFrame, economy: str, chunk: str, indicator: str
 
 
 def collapse(rows: DataFrame, keys: list[str], controlling: str, confidence: str, id_: str) -> DataFrame:
-    """One row a provision: controlling first, confidence, least id; collapsed lists the ids it stands for."""
-    w = Window.partitionBy(*keys).orderBy(F.col(controlling).desc(), F.col(confidence).desc_nulls_last(), id_)
-    whole = Window.partitionBy(*keys)
-    ranked = rows.withColumn("__r", F.row_number().over(w)).withColumn("__ids", F.collect_list(id_).over(whole))
-    return ranked.where("__r = 1").withColumn("collapsed", F.array_sort(F.array_remove("__ids", F.col(id_)))).drop("__r", "__ids")
+    """One row a provision: controlling first, confidence, least id; collapsed lists the ids it stands for. Aggregated, so that a
+    provision's rows are brought together before they are sent."""
+    rank = F.struct(F.coalesce(~F.col(controlling), F.lit(True)), F.col(confidence).isNull(), -F.col(confidence), F.col(id_))
+    whole = F.struct(*[F.col(c) for c in rows.columns if c not in keys])
+    best = rows.groupBy(*keys).agg(F.min_by(whole, rank).alias("__row"), F.collect_list(id_).alias("__ids"))
+    return best.select(*keys, "__row.*", "__ids").withColumn("collapsed", F.array_sort(F.array_remove("__ids", F.col(id_)))).select(*rows.columns, "collapsed")
 
 
 def round_robin(rows: DataFrame, economy: str, confidence: str, order: list[str], cap: int = CAP_ROWS) -> DataFrame:
@@ -137,9 +137,9 @@ def absences(searched: DataFrame, records: DataFrame, keys: list[str]) -> DataFr
 
 def fit_subset(records: DataFrame, keys: list[str], indicator: str, value: str) -> DataFrame:
     """Records whose contribution is the group's strongest: the most, or the least on 7.1 and 7.2."""
-    w = Window.partitionBy(*keys)
-    best = F.when(F.col(indicator).isin(*INVERSE), F.min(value).over(w)).otherwise(F.max(value).over(w))
-    return records.withColumn("__best", best).where(F.col(value) == F.col("__best")).drop("__best")
+    ends = records.groupBy(*keys).agg(F.min(value).alias("__least"), F.max(value).alias("__most"))
+    best = F.when(F.col(indicator).isin(*INVERSE), F.col("__least")).otherwise(F.col("__most"))
+    return records.join(ends, keys).where(F.col(value) == best).drop("__least", "__most").select(*records.columns)
 
 
 def battery(rows: DataFrame, id_: str, key: list[str], required: list[str], checks: dict[str, Column]) -> DataFrame:

@@ -41,13 +41,14 @@ def bm25(pieces: DataFrame, keys: list[str], text: str, terms: DataFrame, query:
     # a row without a term stands for each piece, so that one pass over the texts gives sizes and counts
     all_terms = tokens.select(*keys, F.size("tokens").alias("n"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("term"))
     met = all_terms.join(vocabulary, "term", "left").where(F.col("asked") | F.col("term").isNull())
-    counts = met.groupBy(*keys, "n", "term").agg(F.count(F.lit(1)).alias("tf")).persist()
+    counts = met.groupBy(*keys, "n", "term").agg(F.count(F.lit(1)).alias("tf"))
     stats = counts.where("term IS NULL").agg(F.count(F.lit(1)).alias("pieces"), F.avg("n").alias("mean"))
     tf = counts.where("term IS NOT NULL")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.crossJoin(F.broadcast(stats)).select("term", "mean", F.log(1 + (F.col("pieces") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     score = F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
-    weighted = small(idf.join(terms, "term"))
+    weighted = idf.join(terms, "term")
+    weighted = F.broadcast(weighted) if terms.limit(VOCABULARY_ROWS + 1).count() <= VOCABULARY_ROWS else weighted
     return tf.join(weighted, "term").groupBy(*keys, query).agg(F.sum(score).alias("bm25"))
 
 

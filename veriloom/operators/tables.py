@@ -51,9 +51,10 @@ def accept_all(mappings: DataFrame, history: DataFrame, keys: list[str]) -> Data
     return history.unionByName(fresh, allowMissingColumns=True)
 
 
-def review_queue(mappings: DataFrame, confidence: str, id_: str) -> DataFrame:
-    """Least confidence first, missing ones before all."""
-    return mappings.orderBy(F.col(confidence).asc_nulls_first(), id_)
+def review_queue(mappings: DataFrame, confidence: str, id_: str, keys: list[str]) -> DataFrame:
+    """mappings with their place in the whole queue of keys (a run, an economy): least confidence first, missing ones before all."""
+    w = Window.partitionBy(*keys).orderBy(F.col(confidence).asc_nulls_first(), id_)
+    return mappings.withColumn("place", F.row_number().over(w))
 
 
 def review_gate(records: DataFrame, reviews: DataFrame, drops: DataFrame, id_: str, indicator: str) -> tuple[DataFrame, DataFrame]:
@@ -64,9 +65,9 @@ def review_gate(records: DataFrame, reviews: DataFrame, drops: DataFrame, id_: s
     return kept.join(drops.select(id_), id_, "left_anti"), withheld
 
 
-def page(df: DataFrame, order: list, limit: int, offset: int) -> tuple[DataFrame, int]:
-    """A page of a table in a full order, and the count of all."""
-    return df.orderBy(*order).offset(offset).limit(limit), df.count()
+def page(df: DataFrame, order: list, limit: int, offset: int) -> tuple[DataFrame, DataFrame]:
+    """A page of a table in a full order, and the count of all as a table of one row that is counted when asked."""
+    return df.orderBy(*order).offset(offset).limit(limit), df.agg(F.count(F.lit(1)).alias("total"))
 
 
 def manifest(events: DataFrame, url: str = "url", order: str = "seq") -> DataFrame:
@@ -81,9 +82,9 @@ def manifest(events: DataFrame, url: str = "url", order: str = "seq") -> DataFra
         F.max_by("sha256", F.when(F.col("kind") == "fetched", F.col(order))).alias("sha256"),
         F.max(F.when(F.col("kind") == "fetched", F.col(order))).alias("fetched_seq"),
     )
-    first = Window.partitionBy("sha256").orderBy("fetched_seq")
-    origin = F.when(F.col("sha256").isNotNull(), F.first(url).over(first))
-    return state.withColumn("status", F.coalesce("last", F.lit("pending"))).withColumn("__o", origin).withColumn("is_duplicate_of", F.when(F.col("__o") != F.col(url), F.col("__o"))).drop("__o", "last")
+    origins = state.where("sha256 IS NOT NULL").groupBy("sha256").agg(F.min_by(url, F.struct("fetched_seq", url)).alias("__o"))
+    told = state.join(origins, "sha256", "left").withColumn("status", F.coalesce("last", F.lit("pending")))
+    return told.withColumn("is_duplicate_of", F.when(F.col("__o") != F.col(url), F.col("__o"))).drop("__o", "last")
 
 
 def resolved_ids(docs: DataFrame, id_: str, sha: str) -> DataFrame:

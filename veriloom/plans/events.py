@@ -67,12 +67,12 @@ def unfinished_steps(spark: SparkSession, d: str) -> DataFrame:
     return B.unfinished_steps(e, "user_id", "event_type", "kind")
 
 
-_RUNS = "r AS (SELECT event_id AS run, 'e' || (user_id % 6) AS economy, event_type AS engine, epoch_us(ts) AS started, epoch_us(ts) + (value * 1e6)::BIGINT AS ended, CASE WHEN event_id % 4 = 0 THEN 'failed' ELSE 'completed' END AS status, value AS cost, CASE WHEN event_id % 3 = 0 THEN value * 2 END AS provider_cost FROM events WHERE event_id < 1500)"
+_RUNS = "r AS (SELECT event_id AS run, 'e' || (user_id % 6) AS economy, event_type AS engine, epoch_us(ts) AS started, epoch_us(ts) + (value * 1e6)::BIGINT AS ended, CASE WHEN event_id % 4 = 0 THEN 'failed' ELSE 'completed' END AS status, value AS cost, CASE WHEN event_id % 3 = 0 THEN value * 2 END AS provider_cost FROM events)"
 
 
 def runs(spark: SparkSession, d: str) -> DataFrame:
-    """The first 1500 events as run records: a run log is small beside its events."""
-    e = T(spark, d, "events").where("event_id < 1500")
+    """Events as run records."""
+    e = T(spark, d, "events")
     start = F.unix_micros(F.col("ts").cast("timestamp"))
     return e.select(
         F.col("event_id").alias("run"), F.concat(F.lit("e"), F.col("user_id") % 6).alias("economy"), F.col("event_type").alias("engine"), start.alias("started"), (start + F.round(F.col("value") * 1e6).cast("long")).alias("ended"),

@@ -209,13 +209,10 @@ def accept_all(spark: SparkSession, d: str) -> DataFrame:
     return B.accept_all(T(spark, d, "documents").select("doc_id"), reviews(spark, d), ["doc_id"])
 
 
-@query(f"WITH {_MAP} SELECT mapping_id, row_number() OVER (ORDER BY confidence NULLS FIRST, mapping_id) AS place FROM m QUALIFY place <= 200")
+@query(f"WITH {_MAP} SELECT mapping_id, row_number() OVER (PARTITION BY economy ORDER BY confidence NULLS FIRST, mapping_id) AS place FROM m")
 def review_queue_nulls_first(spark: SparkSession, d: str) -> DataFrame:
-    """The queue's first page of 200."""
-    from pyspark.sql import Window
-
-    top = B.review_queue(mappings(spark, d), "confidence", "mapping_id").limit(200)
-    return top.select("mapping_id", F.row_number().over(Window.orderBy(F.col("confidence").asc_nulls_first(), "mapping_id")).alias("place"))
+    """Every mapping with its place in its economy's queue."""
+    return B.review_queue(mappings(spark, d), "confidence", "mapping_id", ["economy"]).select("mapping_id", "place")
 
 
 @query(f"""WITH {_MAP}, {_REVIEWS}, x AS (SELECT m.*, r.status AS s FROM m LEFT JOIN r ON r.doc_id = (split_part(mapping_id, '-', 1))::BIGINT % 1000)

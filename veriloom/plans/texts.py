@@ -128,15 +128,11 @@ def char_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_discount * 10 AS cosine, l_quantity * 10 AS len, l_linenumber AS n, l_orderkey % 4 AS a FROM lineitem)
 SELECT l_orderkey, l_linenumber, round(0.45 * greatest(0, least(1, (cosine - 0.35) / 0.40)) + 0.25 * least(1, len / 240.0) + 0.15 * CASE WHEN n <= 1 THEN 1.0 ELSE greatest(0.4, 1 - 0.15 * (n - 1)) END
- + 0.15 * CASE a WHEN 1 THEN 1.0 WHEN 2 THEN 0.6 ELSE 0.3 END + 1e-9, 4) AS confidence FROM x""")
+ + 0.15 * CASE a WHEN 1 THEN 1.0 WHEN 2 THEN 0.6 ELSE 0.3 END, 9) AS confidence FROM x""")
 def confidence_score(spark: SparkSession, d: str) -> DataFrame:
-    """The four signals before the last rounding, which Spark and SQL round differently at halves."""
     li = T(spark, d, "lineitem")
-    sim = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("l_discount") * 10 - 0.35) / 0.40))
-    alone = F.when(F.col("l_linenumber") <= 1, 1.0).otherwise(F.greatest(F.lit(0.4), 1.0 - 0.15 * (F.col("l_linenumber") - 1)))
-    tries = F.when(F.col("l_orderkey") % 4 == 1, 1.0).when(F.col("l_orderkey") % 4 == 2, 0.6).otherwise(0.3)
-    whole = 0.45 * sim + 0.25 * F.least(F.lit(1.0), F.col("l_quantity") * 10 / 240.0) + 0.15 * alone + 0.15 * tries
-    return li.select("l_orderkey", "l_linenumber", F.round(whole + 1e-9, 4).alias("confidence"))
+    told = X.confidence(F.col("l_discount") * 10, F.col("l_quantity") * 10, F.col("l_linenumber"), F.col("l_orderkey") % 4, places=9)
+    return li.select("l_orderkey", "l_linenumber", told.alias("confidence"))
 
 
 @query(r"""SELECT doc_id, CASE WHEN length(text) <= 300 THEN text ELSE regexp_replace(substr(text, 1, 299), ' [^ ]*$', '') || '…' END AS rationale FROM documents""")
