@@ -28,13 +28,16 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from veriloom.llm.common import give_back, small_arrow_batches
 
-MAX_STATES, MAX_PAIRS, MAX_WORDS, PIECES = 40_000, 160_000, 160_000, 65_536
+MAX_STATES, MAX_PAIRS, MAX_WORDS, PIECES = 60_000, 300_000, 300_000, 65_536
+#: The part of them that a lean codec keeps, for workers that share an executor with other stages' memory.
+LEAN = 0.54
 #: Bytes to the end of a word up to which a way met for the first time is followed without making states.
 LONG_TAIL = 64
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], keep: float = 1.0):
+        self.most_states, self.most_pairs = int(MAX_STATES * keep), int(MAX_PAIRS * keep)
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.below: list[dict[int, int] | None] = [{}]  # of each trie node, None for a leaf
@@ -86,7 +89,7 @@ class Transducer:
         key = a << 32 | b
         known = self.allowed.get(key)
         if known is None:
-            if len(self.allowed) > MAX_PAIRS:
+            if len(self.allowed) > self.most_pairs:
                 self.allowed.clear()
             known = self.allowed[key] = self._stand(a, b)
         return known
@@ -191,7 +194,7 @@ class Transducer:
         whole = self.ranks.get(word)
         if whole is not None:
             return [whole]
-        if len(self.entries) > MAX_STATES or len(self.once) > 4 * MAX_STATES:
+        if len(self.entries) > self.most_states or len(self.once) > 4 * self.most_states:
             self._forget()
         out: list[int] = []
         state, steps, once = 0, self.steps, self.once
@@ -207,7 +210,7 @@ class Transducer:
             state, settled = step
             if settled:
                 out += settled
-            elif len(self.entries) > 8 * MAX_STATES:  # a word that alone makes too many: its state moves to a fresh machine
+            elif len(self.entries) > 8 * self.most_states:  # a word that alone makes too many: its state moves to a fresh machine
                 key = self.entries[state]
                 self._forget()
                 steps, once = self.steps, self.once
@@ -223,9 +226,9 @@ class _Words(dict):
     """Matches of the pattern to their ids as little-endian unsigned 32-bit integers, in two generations: when the young one
     is full it becomes the old one, and what was not asked for meanwhile is forgotten."""
 
-    def __init__(self, machine: Transducer):
+    def __init__(self, machine: Transducer, keep: float = 1.0):
         super().__init__()
-        self.machine, self.old = machine, {}
+        self.machine, self.old, self.most = machine, {}, int(MAX_WORDS * keep)
 
     def __missing__(self, word: str) -> bytes:
         packed = self.old.get(word)
@@ -233,7 +236,7 @@ class _Words(dict):
             ids = self.machine.encode(word.encode("utf-8"))
             packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= 64:
-            if len(self) >= MAX_WORDS:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[word] = packed
@@ -241,13 +244,13 @@ class _Words(dict):
 
 
 class Codec:
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, keep: float = 1.0):
         import regex
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.machine = Transducer(ranks)
-        self.words = _Words(self.machine)
+        self.machine = Transducer(ranks, keep)
+        self.words = _Words(self.machine, keep)
         self.pattern = regex.compile(pattern)
         self.vocabulary = [self.machine.bytes_of.get(i, b"") for i in range(max(self.machine.bytes_of) + 1)]
 
@@ -317,9 +320,9 @@ class Utf8Stream:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, keep: float = 1.0) -> Codec:
     """One for each Python worker."""
-    return Codec(path, pattern)
+    return Codec(path, pattern, keep)
 
 
 def _resolved(path) -> str:
@@ -352,12 +355,12 @@ def decode(path, pattern: str):
     return bpe_decode
 
 
-def both_ways(path, pattern: str):
+def both_ways(path, pattern: str, keep: float = 1.0):
     """An Arrow function: text to struct(ids, decoded), decoded from the ids."""
 
     @F.arrow_udf(StructType([StructField("ids", BinaryType()), StructField("decoded", StringType())]))
     def bpe(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = codec(_resolved(path), pattern)
+        own = codec(_resolved(path), pattern, keep)
         for batch in batches:
             ids = [own.encode(t.as_py()) for t in batch]
             yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.string())], ["ids", "decoded"])
@@ -367,10 +370,10 @@ def both_ways(path, pattern: str):
     return bpe
 
 
-def tokenized(docs: DataFrame, path, pattern: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, ids, decoded of every document."""
+def tokenized(docs: DataFrame, path, pattern: str, text: str = "text", doc_id: str = "doc_id", keep: float = 1.0) -> DataFrame:
+    """doc_id, ids, decoded of every document. keep: the part of the bounded caches that a worker may fill; results are the same."""
     small_arrow_batches(docs.sparkSession, 256)
-    return docs.select(F.col(doc_id).alias("doc_id"), both_ways(path, pattern)(F.col(text)).alias("b")).select("doc_id", "b.ids", "b.decoded")
+    return docs.select(F.col(doc_id).alias("doc_id"), both_ways(path, pattern, keep)(F.col(text)).alias("b")).select("doc_id", "b.ids", "b.decoded")
 
 
 def ids_list(packed: bytes) -> list[int]:
