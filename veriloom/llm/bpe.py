@@ -364,8 +364,9 @@ def both_ways(path, pattern: str, keep: float = 1.0):
         for batch in batches:
             ids = [own.encode(t.as_py()) for t in batch]
             yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.string())], ["ids", "decoded"])
-        own.forget()
-        give_back()
+        if keep < 1:  # a worker that keeps all its caches may go on with them in its next task
+            own.forget()
+            give_back()
 
     return bpe
 
