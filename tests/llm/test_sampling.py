@@ -160,3 +160,9 @@ def test_emitted_repeats_rows_and_empty(spark):
     assert mixing.emitted(df.limit(0), mixing.words(F.col("text")), F.col("source"), F.col("doc_id")).count() == 0
     empty = spark.createDataFrame([(1, None, "a", None), (2, "", None, None)], SCHEMA)
     assert mixing.emitted(empty, mixing.words(F.col("text")), F.col("source"), F.col("doc_id")).count() == 0
+
+
+def test_words_are_counted_as_listed(spark):
+    odd = [None, "", " ", "\t\n\x0b\x0c\r ", " a", "a ", "a b", "x x  x", "😀 😀\n", "\x1c a\x85b", "日本 語", " \n a \n\n b\t", " x" * 20_000]
+    rows = spark.createDataFrame([(t,) for t in odd], "t string").select("t", mixing.words(F.col("t")).alias("n")).collect()
+    assert {r.t: r.n for r in rows} == {t: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in odd}
