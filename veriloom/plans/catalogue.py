@@ -28,7 +28,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from veriloom.plans import events, evidence, funnel, provisions, publishing, retrieval, spans, texts  # noqa: F401
+    from veriloom.plans import events, evidence, funnel, provisions, publishing, reports, retrieval, spans, texts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
