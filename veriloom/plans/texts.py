@@ -50,7 +50,7 @@ def legal_tokens_of_citations(spark: SparkSession, d: str) -> DataFrame:
  coalesce(nullif(regexp_extract(law, '(\\d{{4}})', 1), '')::INT, -1) AS recency, regexp_extract(law, '\\b((?:19|20)\\d{{2}})\\b', 1) AS year FROM l""")
 def citation_keys(spark: SparkSession, d: str) -> DataFrame:
     s, law = F.col("section"), F.col("law")
-    return laws(spark, d).select("o_orderkey", X.section_base(s).alias("base"), X.citation_key(s, s).alias("citation"), X.norm_law(law).alias("law_key"), X.instrument_rank(law).alias("rank"), X.recency(law).alias("recency"), X.last_amended_year(law).alias("year"))
+    return laws(spark, d).select("o_orderkey", X.section_base(s).alias("base"), X.citation_key(s, s).alias("citation"), X.norm_law(law).alias("law_key"), X.instrument_rank(law).alias("rank"), X.recency(law).alias("recency"), X.first_year(law).alias("year"))
 
 
 @query(f"""WITH {_LAWS} SELECT o_orderkey, CASE WHEN regexp_matches(law, '^UU') THEN 'uu:' || regexp_extract(law, 'Nomor (\\d+)', 1) || ':' || regexp_extract(law, 'Tahun (\\d+)', 1) END AS ident FROM l""")
