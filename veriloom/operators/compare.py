@@ -82,16 +82,29 @@ def pass_windows(runs: DataFrame, economy: str, engine: str, run: str, started:
     return runs.join(last, F.col(run) == F.col("__run"), "left").drop("__run")
 
 
-def run_discoveries(windows: DataFrame, found: DataFrame, economy: str, run: str, started: str, item: str, f_started: str, f_ended: str, width: int = 86_400_000_000) -> DataFrame:
-    """(run, item) of discoveries that lie within a run's window; unfinished ones belong to none. Windows are dealt to cells of
-    time (width in the unit of the columns), and a discovery is looked up in the cell it began in."""
-    have = found.where(F.col(f_ended).isNotNull())
-    least = have.groupBy(economy).agg(F.min(f_started).alias("__least"))
-    w = windows.join(least, economy).select(F.col(run), F.col(economy).alias("__e"), F.col(started).alias("__s"), F.coalesce("window_start", "__least").alias("__w")).where("__w <= __s")
+def run_discoveries(windows: DataFrame, found: DataFrame, economy: str, run: str, started: str, item: str, f_started: str, f_ended: str, width: int = 86_400_000_000, block: int = 16) -> DataFrame:
+    """(run, item) of discoveries that lie within a run's window; unfinished ones belong to none. Windows are dealt to cells of time
+    (width in the unit of the columns). In a cell, discoveries are numbered in order of their start, and a window counts those before
+    it and up to its end, so it knows the numbers it may hold: it is joined with their blocks alone, two more at most than it needs.
+    The work grows with the rows and the discoveries begun in a window, not with all pairs of a cell."""
+    have = found.where(F.col(f_ended).isNotNull()).select(F.col(economy).alias("__e"), F.floor(F.col(f_started) / width).alias("__cell"), F.col(f_started).alias("__fs"), F.col(f_ended).alias("__fe"), F.col(item).alias("__item"))
+    least = have.groupBy("__e").agg(F.min("__fs").alias("__least"))
+    w = windows.select(F.col(run).alias("__run"), F.col(economy).alias("__e"), F.col(started).alias("__s"), "window_start")
+    w = w.join(F.broadcast(least), "__e").withColumn("__w", F.coalesce("window_start", "__least")).where("__w <= __s").drop("window_start", "__least")
     w = w.withColumn("__cell", F.explode(F.sequence(F.floor(F.col("__w") / width), F.floor(F.col("__s") / width))))
-    at = have.withColumn("__c", F.floor(F.col(f_started) / width))
-    ok = (F.col(economy) == F.col("__e")) & (F.col("__c") == F.col("__cell")) & (F.col(f_started) >= F.col("__w")) & (F.col(f_ended) <= F.col("__s"))
-    return at.join(w, ok).select(run, item)
+    # each window twice: before the discoveries that begin with it, and after those that begin at its end
+    ends = F.explode(F.array(F.struct(F.col("__w").alias("at"), F.lit(0).alias("kind")), F.struct(F.col("__s").alias("at"), F.lit(2).alias("kind"))))
+    none = lambda c: F.lit(None).cast(have.schema[c].dataType).alias(c)
+    marks = w.withColumn("__m", ends).select("__e", "__cell", F.col("__m.at").alias("__at"), F.col("__m.kind").alias("__kind"), none("__fe"), none("__item"), F.struct("__run", "__w", "__s").alias("__window"))
+    items = have.select("__e", "__cell", F.col("__fs").alias("__at"), F.lit(1).alias("__kind"), "__fe", "__item", F.lit(None).cast(marks.schema["__window"].dataType).alias("__window"))
+    so_far = Window.partitionBy("__e", "__cell").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    laid = items.unionByName(marks).withColumn("__n", F.sum((F.col("__kind") == 1).cast("long")).over(so_far))
+    at = laid.where("__kind = 1").select("__e", "__cell", F.floor((F.col("__n") - 1) / block).alias("__block"), F.col("__at").alias("__fs"), "__fe", "__item")
+    # a window's first mark has the number of discoveries before it; its last one is alone in a later cell, and so is its first in an earlier one
+    spans = laid.where("__kind <> 1").groupBy("__e", "__cell", "__window").agg(F.min("__n").alias("__from"), F.max("__n").alias("__to")).where("__from < __to")
+    asked = spans.select("__e", "__cell", "__window.*", F.explode(F.sequence(F.floor(F.col("__from") / block), F.floor((F.col("__to") - 1) / block))).alias("__block"))
+    met = at.join(asked, ["__e", "__cell", "__block"]).where("__fs >= __w AND __fe <= __s")
+    return met.select(F.col("__run").alias(run), F.col("__item").alias(item))
 
 
 def engine_summary(runs: DataFrame, keys: list[str], started: str, ended: str, documents: str, cost: str, provider_cost: str) -> DataFrame:
