@@ -40,16 +40,12 @@ r AS (SELECT doc_id, item_id, 1 - (rank() OVER (PARTITION BY item_id ORDER BY bm
 lex AS (SELECT doc_id, max(lexical) AS lexical FROM r GROUP BY doc_id)"""
 
 
-def _best(spark: SparkSession, d: str) -> DataFrame:
-    pieces = R.windows(T(spark, d, "documents"), "doc_id", "text")
-    terms = R.query_terms(T(spark, d, "benchmark"), "item_id", "text")
-    scores = R.bm25(pieces, ["doc_id", "window"], "piece", terms, "item_id")
-    return scores.groupBy("doc_id", "item_id").agg(F.round(F.max("bm25"), 9).alias("bm25"))
+def _terms(spark: SparkSession, d: str) -> DataFrame:
+    return R.query_terms(T(spark, d, "benchmark"), "item_id", "text")
 
 
 def _lexical(spark: SparkSession, d: str) -> DataFrame:
-    n = T(spark, d, "documents").count()
-    return R.rank_normalised(_best(spark, d), "doc_id", "item_id", "bm25", F.lit(n)).groupBy("doc_id").agg(F.max("lexical").alias("lexical"))
+    return R.best_ranks(T(spark, d, "documents"), "doc_id", "text", _terms(spark, d), "item_id")
 
 
 @query(f"WITH {_WINDOWS} SELECT doc_id, round(lexical, 6) AS lexical FROM lex")
@@ -59,7 +55,8 @@ def bm25_best_window_rank(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_WINDOWS} SELECT doc_id, item_id, round(bm25, 6) AS bm25 FROM best")
 def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _best(spark, d).select("doc_id", "item_id", F.round("bm25", 6).alias("bm25"))
+    best = R.best_windows(T(spark, d, "documents"), "doc_id", "text", _terms(spark, d), "item_id")
+    return best.select("doc_id", "item_id", F.round("bm25", 6).alias("bm25"))
 
 
 _COS = """
@@ -114,7 +111,7 @@ def _phrases(spark: SparkSession, d: str) -> DataFrame:
     words = quoted_words(F.col("text"))
     pair = T(spark, d, "benchmark").select("item_id", words.alias("w")).select("item_id", F.explode(F.array(*[F.array_join(F.slice("w", k, 2), " ") for k in (1, 4, 7, 10)])).alias("phrase"))
     docs = T(spark, d, "documents")
-    scores = R.phrase_scores(R.windows(docs, "doc_id", "text"), "doc_id", "piece", pair, "item_id", "phrase", docs.count())
+    scores = R.phrase_scores(docs, "doc_id", "text", pair, "item_id", "phrase", docs.count())
     return scores.groupBy("doc_id").agg(F.max("phrase_score").alias("phrase"))
 
 
