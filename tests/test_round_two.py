@@ -10,6 +10,8 @@ sys.path.insert(0, str(Path(__file__).parent))
 import duckdb
 from oracle import plain
 
+from veriloom.llm import near_copies
+from veriloom.llm.components import components
 from veriloom.operators import compare as C
 from veriloom.operators import retrieval as R
 from veriloom.plans import catalogue
@@ -102,3 +104,15 @@ def test_windows_are_joined_with_what_they_may_hold(spark):
     assert df.count() == 2999
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "__block" in plan
+
+
+def test_near_stage_links_what_simhash_finds(spark):
+    """Sets that share no group of minimal hashes, whose fingerprints lie three bits apart, or in a chain: op1's links make them a
+    group, and the exact check decides: the fourth has a near fingerprint but another set."""
+    whole = list(range(100))
+    sets = {1: whole, 2: whole[:95], 3: whole[5:], 4: list(range(500, 600)), 5: whole[:90]}
+    fps = {1: 0b111, 2: 0, 3: 0b111111, 4: 1, 5: -1}
+    nodes = spark.createDataFrame([(k, [10 * k], bytes(96), fps[k]) for k in sets], "node long, bands array<long>, sketch binary, fp long")
+    values = spark.createDataFrame([(k, v) for k, v in sets.items()], "node long, values array<long>")
+    got = components(near_copies.links(nodes, lambda some: values.join(some, "node"))).collect()
+    assert {(r["node"], r["label"]) for r in got} == {(1, 1), (2, 1), (3, 1)}

@@ -1,8 +1,10 @@
 """Near copies by exact similarity: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked.
 
-Fingerprints of 64 bits can't serve here: at a similarity of 0.8 two differ by some 10 bits, and segments that balls of so many
-bits can be enumerated in hold a good part of any corpus. So candidates share one of BANDS groups of ROWS minimal hashes; a pair
-at 0.8 shares none once in about 300,000 times, and less often above. Of them only pairs in which SKETCH or more of the
+Candidates come from SimHash first, by op1's operator: the components that simhash.links makes of the fingerprints by multi-index
+hashing are groups, whose members an exact check decides on. Fingerprints of 64 bits can't find all: at a similarity of 0.8 two
+differ by some 10 bits, and segments that balls of so many bits can be enumerated in hold a good part of any corpus. So beside
+them candidates share one of BANDS groups of ROWS minimal hashes; a pair at 0.8 shares none once in about 300,000 times, and less
+often above. Of all candidates only pairs in which SKETCH or more of the
 minimal hashes agree (a byte of each is compared; fewer agree once in 100,000 pairs at 0.8) are looked at further, and what
 is linked is decided by the exact similarity of the sets.
 
@@ -92,20 +94,21 @@ def node():
 
 
 def _read():
-    """An Arrow function: text to struct(node, bands, sketch); no bands for a text without a word."""
-    out = pa.struct([("node", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    """An Arrow function: text to struct(node, bands, sketch, fp), fp being op1's fingerprint; no bands for a text without a word."""
+    out = pa.struct([("node", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary()), ("fp", pa.int64())])
 
-    @F.arrow_udf("node long, bands array<long>, sketch binary")
+    @F.arrow_udf("node long, bands array<long>, sketch binary, fp long")
     def signed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            nodes, bands, sketches = [], [], []
+            nodes, bands, sketches, fps = [], [], [], []
             for t in batch:
+                fps.append(simhash.fingerprint_of(t.as_py()))
                 shingles = shingles_of(t.as_py())
                 least = minima_of(shingles)
                 nodes.append(node_of(shingles))
                 bands.append(_signed(bands_of(least) if len(shingles) else []))
                 sketches.append(sketch_of(least))
-            yield pa.StructArray.from_arrays([pa.array(_signed(nodes), pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], fields=list(out))
+            yield pa.StructArray.from_arrays([pa.array(_signed(nodes), pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(_signed(fps), pa.int64())], fields=list(out))
         give_back()
 
     return signed.asNondeterministic()  # so that no part of the struct is computed apart
@@ -211,9 +214,16 @@ def _across(told: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
     return laid.mapInArrow(_compared, "a long, b long").distinct()
 
 
+def _fingerprint_groups(nodes: DataFrame) -> DataFrame:
+    """nodes (node, bands, fp) to (node, key): key names the component of the node's fingerprint, of simhash.links."""
+    some = nodes.where(F.size("bands") > 0)
+    labels = components(simhash.links(cut(some.select("fp").distinct()))).select(F.col("node").alias("fp"), "label")
+    return some.select("node", "fp").join(labels, "fp", "left").select("node", F.xxhash64(F.lit("simhash"), F.coalesce("label", "fp")).alias("key"))
+
+
 def links(nodes: DataFrame, sets_of) -> DataFrame:
-    """nodes (node, bands, sketch) to links (a, b); sets_of gives the shingles (node, values) of a table of nodes."""
-    table = nodes.select("node", F.explode("bands").alias("key"))
+    """nodes (node, bands, sketch, fp) to links (a, b); sets_of gives the shingles (node, values) of a table of nodes."""
+    table = nodes.select("node", F.explode("bands").alias("key")).union(_fingerprint_groups(nodes))
     centres = table.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
     members = cut(table.join(centres, "key"))
     names = members.select("node").distinct()
@@ -231,7 +241,7 @@ def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     """The rows of docs that stay: of each component the row with the least doc_id."""
     small_arrow_batches(docs.sparkSession, 256)
     read = cut(docs.select(F.col(doc_id).alias("doc_id"), _read()(F.col(text)).alias("s")).select("doc_id", "s.*"))
-    nodes = cut(read.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    nodes = cut(read.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.min("fp").alias("fp")))
 
     def sets_of(some: DataFrame) -> DataFrame:
         wanted = cut(nodes.join(some, "node").select("node", "least"))
@@ -240,7 +250,7 @@ def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
         sets = rows.select(_sets()(F.col("__text")).alias("s")).select("s.node", "s.values")
         return sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
-    labels = components(links(nodes.select("node", "bands", "sketch"), sets_of))
+    labels = components(links(nodes.select("node", "bands", "sketch", "fp"), sets_of))
     known = nodes.join(labels, "node", "left").select(F.col("node").alias("fp"), F.coalesce("label", "node").alias("label"))
     thin = read.select("doc_id", F.col("node").alias("fp"))
     return rows_kept(docs, thin, simhash.firsts(thin, known), node(), text, doc_id)
