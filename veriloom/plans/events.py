@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +9,7 @@ from veriloom.operators import compare as C
 from veriloom.operators import tables as B
 from veriloom.plans.catalogue import query
 from veriloom.sources.readers import parquet as T
+from veriloom.sources.readers import shared
 from veriloom.streaming import events as S
 
 
@@ -159,17 +157,9 @@ def usage_meter(spark: SparkSession, d: str) -> DataFrame:
     return T(spark, d, "events").select("user_id", "event_id", F.round(F.sum("value").over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)), 4).alias("used"))
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    """A folder that executors share: below spark.checkpoint.dir, or a local one on a single machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or (tempfile.gettempdir() if (spark.sparkContext.master or "").startswith("local[") else None)
-    if not base:
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def _streamed(spark: SparkSession, source: DataFrame, build, mode: str) -> DataFrame:
     """source written as files, streamed to the end through build, and what the sink holds. Append only: a sink of files."""
-    place = _shared(spark, "stream")
+    place = shared(spark, "stream")
     source.write.parquet(f"{place}/in")
     stream = spark.readStream.schema(source.schema).parquet(f"{place}/in")
     build(stream).writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(lambda df, k: df.withColumn("batch", F.lit(k)).write.mode("append").parquet(f"{place}/out")).start().awaitTermination()

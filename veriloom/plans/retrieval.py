@@ -107,17 +107,17 @@ pw AS (SELECT doc_id, item_id, win, count(*) AS n FROM pm JOIN pd USING (phrase)
 ps AS (SELECT doc_id, max(s) AS phrase FROM (SELECT doc_id, item_id, least(1.0, max(n) / 3.0) AS s FROM pw GROUP BY ALL) GROUP BY doc_id)"""
 
 
-def _phrases(spark: SparkSession, d: str) -> DataFrame:
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
     words = quoted_words(F.col("text"))
-    pair = T(spark, d, "benchmark").select("item_id", words.alias("w")).select("item_id", F.explode(F.array(*[F.array_join(F.slice("w", k, 2), " ") for k in (1, 4, 7, 10)])).alias("phrase"))
-    docs = T(spark, d, "documents")
-    scores = R.phrase_scores(docs, "doc_id", "text", pair, "item_id", "phrase", docs.count())
-    return scores.groupBy("doc_id").agg(F.max("phrase_score").alias("phrase"))
+    pair = T(spark, d, "benchmark").select("item_id", words.alias("w"))
+    return pair.select("item_id", F.explode(F.array(*[F.array_join(F.slice("w", k, 2), " ") for k in (1, 4, 7, 10)])).alias("phrase"))
 
 
 @query(f"WITH {_WINDOWS}, {_PHRASES} SELECT doc_id, round(phrase, 6) AS phrase FROM ps")
 def phrase_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
-    return _phrases(spark, d).select("doc_id", F.round("phrase", 6).alias("phrase"))
+    docs = T(spark, d, "documents")
+    scores = R.phrase_scores(docs, "doc_id", "text", _pairs(spark, d), "item_id", "phrase", docs.count())
+    return scores.groupBy("doc_id").agg(F.round(F.max("phrase_score"), 6).alias("phrase"))
 
 
 _SHORTLIST = f"""{_WINDOWS}, {_PHRASES}, {_COS},
@@ -126,7 +126,9 @@ sc AS (SELECT doc_id, round(0.45 * greatest(coalesce(cosine, 0), 0) + 0.25 * coa
 
 
 def _shortlist(spark: SparkSession, d: str) -> DataFrame:
-    return R.composite(T(spark, d, "documents"), "doc_id", _cosines(spark, d), _lexical(spark, d), _phrases(spark, d))
+    docs = T(spark, d, "documents")
+    lexical, phrase = R.text_tiers(docs, "doc_id", "text", _terms(spark, d), "item_id", _pairs(spark, d), "item_id", "phrase")
+    return R.composite(docs, "doc_id", _cosines(spark, d), lexical, phrase)
 
 
 @query(f"WITH {_SHORTLIST} SELECT doc_id, score FROM sc")

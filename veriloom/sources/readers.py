@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,27 @@ def parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared(spark: SparkSession, name: str) -> str:
+    """A folder that executors share: below spark.checkpoint.dir, or a local one on a single machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or (tempfile.gettempdir() if (spark.sparkContext.master or "").startswith("local[") else None)
+    if not base:
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written to a shared folder and read again, and the folder."""
+    place = shared(df.sparkSession, name)
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place), place
+
+
+def remove(spark: SparkSession, place: str) -> None:
+    """Deletes a folder in whatever store its path names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(place)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def event_log(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines of a run's events; broken lines are dropped."""
     return spark.read.schema(SCHEMAS["events"]).option("mode", "DROPMALFORMED").json(path)
