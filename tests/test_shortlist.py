@@ -78,3 +78,12 @@ def test_tables_without_words(spark):
     assert told(docs, terms.limit(0), pairs) == [0, 3]
     lexical, phrase = told(docs, terms, pairs.limit(0))
     assert lexical > 50 and phrase == 0
+
+
+@pytest.mark.parametrize("name", ["shortlist_precision"])
+def test_reports_are_told_once(spark, tmp_path, name):
+    """What a report reads twice is its hundred rows, not the shortlist."""
+    ranking_tables(spark, tmp_path)
+    assert same_as_sql(spark, name, tmp_path)
+    plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "embedding" not in plan and "text:string" not in plan

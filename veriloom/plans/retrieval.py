@@ -131,6 +131,13 @@ def _shortlist(spark: SparkSession, d: str) -> DataFrame:
     return R.composite(docs, "doc_id", _cosines(spark, d), lexical, phrase)
 
 
+def _first(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, score, rank: a top-100 report, told once however often it is read."""
+    top = _shortlist(spark, d).select("doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(100)
+    rows = [(*r, k) for k, r in enumerate(top.collect(), 1)]
+    return spark.createDataFrame(rows, f"doc_id {dict(top.dtypes)['doc_id']}, score double, rank int")
+
+
 @query(f"WITH {_SHORTLIST} SELECT doc_id, score FROM sc")
 def shortlist_composite(spark: SparkSession, d: str) -> DataFrame:
     return _shortlist(spark, d).select("doc_id", "score")
@@ -140,8 +147,7 @@ def shortlist_composite(spark: SparkSession, d: str) -> DataFrame:
 j AS (SELECT rank, quality FROM rk LEFT JOIN labels USING (doc_id)), m AS (SELECT least(20, count(*), sum(coalesce(quality, 0))) AS k FROM j)
 SELECT round(avg(coalesce(quality, 0)), 6) AS precision FROM j, m WHERE rank <= k""")
 def shortlist_precision(spark: SparkSession, d: str) -> DataFrame:
-    top = _shortlist(spark, d).orderBy(F.desc("score"), "doc_id").limit(100)  # a top-100 report
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id"))).join(T(spark, d, "labels"), "doc_id", "left").withColumn("quality", F.coalesce("quality", F.lit(0)))
+    ranked = _first(spark, d).join(T(spark, d, "labels"), "doc_id", "left").withColumn("quality", F.coalesce("quality", F.lit(0)))
     return R.precision_at(ranked, "rank", F.col("quality") == 1, 20).select(F.round("precision", 6).alias("precision"))
 
 
