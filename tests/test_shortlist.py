@@ -80,7 +80,7 @@ def test_tables_without_words(spark):
     assert lexical > 50 and phrase == 0
 
 
-@pytest.mark.parametrize("name", ["shortlist_precision"])
+@pytest.mark.parametrize("name", ["shortlist_precision", "shortlist_recall"])
 def test_reports_are_told_once(spark, tmp_path, name):
     """What a report reads twice is its hundred rows, not the shortlist."""
     ranking_tables(spark, tmp_path)

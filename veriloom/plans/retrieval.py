@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriloom.functions.text import STOPWORDS, quoted_words
@@ -155,8 +155,7 @@ def shortlist_precision(spark: SparkSession, d: str) -> DataFrame:
 l AS (SELECT rank, source AS law FROM rk JOIN documents USING (doc_id)), nl AS (SELECT count(DISTINCT law) AS r FROM l)
 SELECT round(avg(hit), 6) AS recall FROM (SELECT law, max((rank <= greatest(10, r))::INT) AS hit FROM l, nl GROUP BY law)""")
 def shortlist_recall(spark: SparkSession, d: str) -> DataFrame:
-    top = _shortlist(spark, d).orderBy(F.desc("score"), "doc_id").limit(100)  # a top-100 report
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id"))).join(T(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    ranked = _first(spark, d).join(T(spark, d, "documents").select("doc_id", "source"), "doc_id")
     return R.recall_at(ranked, "rank", F.col("source"), 10).select(F.round("recall", 6).alias("recall"))
 
 
